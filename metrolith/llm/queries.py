@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, rans, simhash
+from . import langid, packing, quality, rans, simhash, wrappers
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -26,7 +26,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOK
     return packing.pack_documents(_table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_files, op4_simhash_golay, op5_best_fit_packing)}
+def op7_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_token_files, op4_simhash_golay, op5_best_fit_packing, op7_wrapper_main_text, op8_language_mixture, op9_quality_discriminant)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
