@@ -6,14 +6,13 @@ the language whose loss costs the least is dropped as long as the penalised like
 proportion left is the prediction.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,7 +191,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     mark = fresh("_sure", docs.columns)
 
     @F.pandas_udf("boolean")
-    def sure(texts):  # noqa: ANN001, ANN202 - a pandas series each way
+    def sure(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: max(shared.value.proportions(t).values(), default=0.0) >= least)
 
     return docs.withColumn(mark, sure(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).where(mark).drop(mark)
