@@ -79,32 +79,44 @@ def guarded(kernel: Callable, schema, empty=None):  # noqa: ANN001, ANN201
     return run
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(B)
 def _valid(codes: pd.Series) -> pd.Series:
     return codes.map(lambda c: isinstance(c, str) and K.source(c).tree is not None)
 
 
-def _series(c: Column, prefix: str, spec: str = "mean max min") -> dict[str, Column]:
-    n, out = F.size(c), {}
+def _series(c: str, prefix: str, spec: str = "mean max min") -> dict[str, Column]:
+    """c: SQL of an array. Written as SQL, since a plan of many lambdas is slow to build from Python."""
+    out = {}
     if "mean" in spec:
-        out[f"{prefix}_mean"] = F.when(n > 0, F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / n, 4))
+        out[f"{prefix}_mean"] = F.expr(f"round({_mean(c)}, 4)")
     if "max" in spec:
-        out[f"{prefix}_max"] = F.array_max(c)
+        out[f"{prefix}_max"] = F.expr(f"array_max({c})")
     if "min" in spec:
-        out[f"{prefix}_min"] = F.array_min(c)
+        out[f"{prefix}_min"] = F.expr(f"array_min({c})")
     return out
 
 
-def _sum(c: Column) -> Column:
-    return F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+def _sum(c: str) -> str:
+    return f"if(size({c}) > 0, aggregate({c}, 0D, (a, x) -> a + x), null)"
+
+
+def _mean(c: str) -> str:
+    return f"{_sum(c)} / nullif(size({c}), 0)"
+
+
+#: Halstead's quantities of one function f, as in `functions.columns.halstead`.
+_VOLUME = "(f.n1 + f.n2) * if(f.h1 + f.h2 > 0, log2(f.h1 + f.h2), 0D)"
+_DIFFICULTY = "if(f.h2 = 0, 0D, f.h1 / 2D * f.n2 / nullif(f.h2, 0))"
+_OF_FUNCTION = {"volume": _VOLUME, "difficulty": _DIFFICULTY, "effort": f"{_DIFFICULTY} * {_VOLUME}", "time": f"{_DIFFICULTY} * {_VOLUME} / 18D", "bugs": f"{_VOLUME} / 3000D", "vocabulary": "cast(f.h1 + f.h2 as double)", "length": "cast(f.n1 + f.n2 as double)"}
 
 
 def _values(engine: str) -> dict[str, Column]:
     """The engine's metrics from its kernel's struct (column _<engine>) and the functions (column _functions)."""
     v = lambda k: F.col(f"_{engine}.values.{k}")
-    fs = F.col("_functions.values")
-    each = lambda k: F.transform(fs, lambda f: f[k])
-    of = lambda name: F.transform(fs, lambda f: halstead(f["h1"], f["h2"], f["n1"], f["n2"])[name].cast("double"))
+    name = lambda k: f"_{engine}.values.{k}"
+    each = lambda k: f"_functions.values.{k}"
+    of = lambda k: f"transform(_functions.values, f -> {_OF_FUNCTION[k]})"
+    most = lambda k: F.expr(f"array_max({each(k)})")
     if engine == "five_op":
         h = halstead(v("halstead_h1"), v("halstead_h2"), v("halstead_n1"), v("halstead_n2"))
         index, full, path = maintainability(h["volume"], v("cc_sum") / v("cc_n"), v("lloc"), v("sloc"), F.coalesce(F.try_divide(v("comments") + v("multi_line_comments"), v("total_lines")), F.lit(0.0)))
@@ -114,26 +126,26 @@ def _values(engine: str) -> dict[str, Column]:
         out |= {f"halstead_{k}": F.when(known, F.round(h[k], 6)) for k in ("calculated_length", "volume", "difficulty", "effort", "time", "bugs")}
         return out | {"halstead_volume_is_zero": F.when(known, h["volume"] == 0), "maintainability_index": F.when(known, index), "maintainability_index_saturated": F.when(known, full), "maintainability_saturation_path": F.when(known, path)}
     if engine == "token":
-        out = {"function_count": F.when(v("nloc").isNotNull(), F.size(fs).cast("long")), "nloc": v("nloc"), "token_count": v("token_count"), "max_nesting_depth": F.array_max(each("max_nesting_depth"))}
+        out = {"function_count": F.when(v("nloc").isNotNull(), F.size("_functions.values").cast("long")), "nloc": v("nloc"), "token_count": v("token_count"), "max_nesting_depth": most("max_nesting_depth")}
         for prefix, k in (("avg_token_count", "token_count"), ("avg_param_count", "param_count"), ("function_length", "nloc"), ("cyclomatic_complexity", "cyclomatic_complexity")):
             out |= _series(each(k), prefix)
-        out |= {f"halstead_{k}": F.round(_sum(of(k)), 6) for k in ("volume", "effort", "time", "bugs")}
-        out |= {f"halstead_{k}": F.round(_sum(of(k)) / F.size(fs), 6) for k in ("difficulty", "vocabulary")}
-        out |= {"halstead_length": _sum(of("length")).cast("long")} | {f"halstead_{k}": _sum(each(k)).cast("long") for k in ("h1", "h2", "n1", "n2")}
-        return out | {"top_nesting_level_max": F.array_max(each("top")), "function_token_length_max": F.array_max(each("token_count"))}
+        out |= {f"halstead_{k}": F.expr(f"round({_sum(of(k))}, 6)") for k in ("volume", "effort", "time", "bugs")}
+        out |= {f"halstead_{k}": F.expr(f"round({_mean(of(k))}, 6)") for k in ("difficulty", "vocabulary")}
+        out |= {"halstead_length": F.expr(_sum(of("length"))).cast("long")} | {f"halstead_{k}": F.expr(_sum(each(k))).cast("long") for k in ("h1", "h2", "n1", "n2")}
+        return out | {"top_nesting_level_max": most("top"), "function_token_length_max": most("token_count")}
     if engine == "ast":
         share = lambda k: F.round(F.try_divide(v(k).cast("double"), v("total_nodes")), 6)
         plain = "ast_depth total_nodes functiondef_count classdef_count return_count call_count assign_count comprehension_count try_count decorator_count class_count noc_max base_classes_external operational_node_count"
-        return {k: v(k) for k in plain.split()} | {"loop_ratio": share("loops"), "if_ratio": share("ifs"), "import_ratio": share("imports")} | _series(v("dit"), "dit", "max mean") | _series(v("rfc"), "rfc", "max mean") | _series(v("methods"), "methods_per_class", "mean")
+        return {k: v(k) for k in plain.split()} | {"loop_ratio": share("loops"), "if_ratio": share("ifs"), "import_ratio": share("imports")} | _series(name("dit"), "dit", "max mean") | _series(name("rfc"), "rfc", "max mean") | _series(name("methods"), "methods_per_class", "mean")
     if engine == "lexical":
         keys = [s.key for s in S.SPECS if s.engine == engine and s.key != "type_token_ratio"]
         return {k: v(k) for k in keys} | {"type_token_ratio": F.round(F.try_divide(v("distinct_tokens").cast("double"), v("lexical_tokens")), 6)}
     if engine == "cognitive":
-        return {"cognitive_complexity": v("cognitive_complexity")} | _series(v("points"), "cognitive_complexity")
+        return {"cognitive_complexity": v("cognitive_complexity")} | _series(name("points"), "cognitive_complexity")
     if engine == "structure":
         plain = "class_count dead_code_findings clone_count clone_pairs clone_groups clone_fragments_analysed function_count sloc lloc comment_lines docstring_lines"
-        out = {k: v(k) for k in plain.split()} | {"dead_code_ratio": F.round(F.try_divide(v("dead_code_findings").cast("double"), v("blocks")), 6), "clone_similarity_mean": _series(v("similarity"), "x", "mean")["x_mean"]}
-        for c, prefix, spec in ((v("cbo"), "cbo", "mean max"), (v("lcom"), "lcom", "mean max"), (each("cognitive_complexity"), "cognitive_complexity", "mean"), (each("plain_complexity"), "cyclomatic_complexity", "mean max"), (each("max_nesting_depth"), "nesting_depth", "mean max")):
+        out = {k: v(k) for k in plain.split()} | {"dead_code_ratio": F.round(F.try_divide(v("dead_code_findings").cast("double"), v("blocks")), 6), "clone_similarity_mean": _series(name("similarity"), "x", "mean")["x_mean"]}
+        for c, prefix, spec in ((name("cbo"), "cbo", "mean max"), (name("lcom"), "lcom", "mean max"), (each("cognitive_complexity"), "cognitive_complexity", "mean"), (each("plain_complexity"), "cyclomatic_complexity", "mean max"), (each("max_nesting_depth"), "nesting_depth", "mean max")):
             out |= _series(c, prefix, spec)
         return out
     if engine == "unused":

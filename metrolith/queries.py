@@ -148,7 +148,6 @@ def q_security(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ programs as fragments
 
-_K = F.col("k")
 
 
 def _rep(text: Column | str) -> Column:
@@ -266,12 +265,12 @@ def q_mi_saturation(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""with r as (select o_orderkey, max(o_totalprice) as a, round(sum(l_extendedprice), 2) as b, nullif(max(l_quantity), 50) * 1000 as c from orders left join lineitem on l_orderkey = o_orderkey group by 1),
 s as (select *, (a is not null)::int + (b is not null)::int + (c is not null)::int as n, greatest(a, b, c) as hi, least(a, b, c) as lo from r)
-select o_orderkey, case when n >= 2 then round(hi / lo, 2) end as ratio, case when n >= 2 then round(hi / lo, 6) - 1.0 > 0.1 end as divergent, """ + _BANDS.format(f="case when n >= 2 then round(hi / lo, 6) - 1.0 > 0.1 end", r="case when n >= 2 then round(hi / lo, 6) end") + " as severity from s")
+select o_orderkey, case when n >= 2 then floor(round(hi / lo, 6) * 100 + 1e-6) end as ratio, case when n >= 2 then round(hi / lo, 6) - 1.0 > 0.1 end as divergent, """ + _BANDS.format(f="case when n >= 2 then round(hi / lo, 6) - 1.0 > 0.1 end", r="case when n >= 2 then round(hi / lo, 6) end") + " as severity from s")
 def q_divergence_three(spark: SparkSession, d: str) -> DataFrame:
     l = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("b"), F.max("l_quantity").alias("q"))
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("a")).join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     ratio, flag = divergence([F.col("a"), F.col("b"), F.nullif(F.col("q"), F.lit(50.0)) * 1000])
-    return o.select("o_orderkey", F.round(ratio, 2).alias("ratio"), flag.alias("divergent"), severity(ratio, flag).alias("severity"))
+    return o.select("o_orderkey", F.floor(ratio * 100 + 1e-6).cast("double").alias("ratio"), flag.alias("divergent"), severity(ratio, flag).alias("severity"))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:

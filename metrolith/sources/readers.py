@@ -14,7 +14,7 @@ from ..functions.text import code_blocks, python_blocks
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
     """(fragment_id, code): a file, or all *.py below a folder; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(path)
-    return files.select(F.col("path").alias("fragment_id"), F.decode("content", F.lit("UTF-8")).alias("code"))
+    return files.select(F.col("path").alias("fragment_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
 
 
 def from_strings(spark: SparkSession, fragments: dict[str, str] | list[str]) -> DataFrame:

@@ -8,4 +8,4 @@ from ..operators.measure import measure
 
 def stream_folder(spark: SparkSession, folder: str, engines: list[str] | None = None) -> DataFrame:
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.py").load(folder)
-    return measure(files.select(F.col("path").alias("fragment_id"), F.decode("content", F.lit("UTF-8")).alias("code")), engines).metrics()
+    return measure(files.select(F.col("path").alias("fragment_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("code")), engines).metrics()
