@@ -159,7 +159,10 @@ class TokenFile:
             if lead[: len(MAGIC)] != MAGIC:
                 raise ValueError(f"{uri} is no token file")
             (size,) = struct.unpack("<I", lead[len(MAGIC) :])
-            head = json.loads(zlib.decompress(f.read(size)))
+            try:
+                head = json.loads(zlib.decompress(f.read(size)))
+            except zlib.error as e:
+                raise ValueError(f"{uri}: the header is damaged") from e
         self.body = len(lead) + size
         self.docs, self.lengths, self.blocks = head["doc_id"], head["n"], head["blocks"]
         self.table = Table(*(np.frombuffer(base64.b64decode(head[k]), "<u4").astype(t) for k, t in (("symbols", np.uint32), ("freq", np.uint64))))
