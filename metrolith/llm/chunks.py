@@ -109,11 +109,13 @@ def without_repeats(docs: DataFrame, least_bytes: int = 150, id_col: str = "doc_
     """
     own, holes = fresh("_doc", docs.columns), fresh("_holes", docs.columns)
     spans = repeated_spans(docs, least_bytes, id_col, text_col)
-    lists = spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(holes))
+    lists = cut(spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(holes)))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, all_holes: pd.Series) -> pd.Series:
-        def one(text: str, spans: list) -> str:
+        def one(text: str | None, spans: list | None) -> str | None:
+            if spans is None:
+                return text
             raw, at, out = text.encode(), 0, []
             for s in spans:
                 out.append(raw[at : s["start_byte"]])
@@ -122,9 +124,8 @@ def without_repeats(docs: DataFrame, least_bytes: int = 150, id_col: str = "doc_
 
         return pd.Series([one(t, h) for t, h in zip(texts, all_holes, strict=True)])
 
-    kept = [c for c in docs.columns if c not in (text_col, length_col)]
-    joined = docs.join(lists, docs[id_col].cast("long") == lists[own], "left")
-    touched = joined.where(F.col(holes).isNotNull()).select(*kept, cut_out(F.col(text_col).cast("string"), holes).alias(text_col)).where(F.length(F.trim(F.regexp_replace(text_col, r"\s+", " "))) > 0)
+    joined = docs.join(lists, docs[id_col].cast("long") == lists[own], "left").withColumn(text_col, cut_out(F.col(text_col).cast("string"), holes))
+    left = joined.where(F.col(holes).isNull() | F.col(text_col).rlike(r"\S"))
     if length_col in docs.columns:
-        touched = touched.withColumn(length_col, F.length(text_col).cast("long"))
-    return joined.where(F.col(holes).isNull()).select(*docs.columns).unionByName(touched.select(*docs.columns))
+        left = left.withColumn(length_col, F.when(F.col(holes).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
+    return left.select(*docs.columns)
