@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metrolith.llm import chunks, decontam, langid, packing, simhash
+from metrolith.llm import chunks, decontam, langid, near, packing
 from metrolith.llm.common import work_folder
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -14,8 +14,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group that SimHash links."""
-    return simhash.keep_first(docs)
+    """Keeps the document of the smallest id of each group linked by similarity 0.8 or more of five-word shingles."""
+    return near.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("substring dedup", cut_repeats),
     ("benchmark decontamination", drop_leaks),
     ("best-fit packing", pack_sequences),
 ]
 
-#: SQL can express none of the stages but the linking of equal fingerprints; tests/llm holds run() to brute force.
+#: SQL can express none of the stages; tests/llm holds run() to brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from metrolith.llm import chroma, chunks, decontam, langid, packing, quality, rans, sharding, simhash, wrappers
+from metrolith.llm import chroma, chunks, decontam, langid, near, packing, quality, rans, sharding, simhash, wrappers
 from metrolith.llm.common import Encoder, components
 
 SF = "/root/testdata/sf0.001"
@@ -93,6 +93,31 @@ def test_simhash_links_random_neighbours(spark):
     assert got == {frozenset((a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_near_copies_against_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(600).select("doc_id", "text")
+    base = d.first().text.split()[:200]
+    edited = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (20, 60, 100, 140)]  # a few bits more than two apart
+    d = d.union(docs(spark, [" ".join(base), *edited, "few words", "Few  words", "", None]).selectExpr("doc_id + 50000", "text"))
+    sets = {r.doc_id: set(near.shingles(r.text).tolist()) for r in d.collect()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    real = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+            real += x != y
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    assert real >= 10
+    assert {r.doc_id for r in near.keep_first(d).collect()} == {i for i in sets if find(i) == i}
+    assert near.keep_first(d.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
