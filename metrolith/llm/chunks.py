@@ -1,10 +1,10 @@
-"""Operator 6: repeated passages by content-defined chunks.
+"""Operator 6: repeated passages of over 50 words by content-defined chunks.
 
-A gear hash of the last 16 bytes cuts a text where its top bits are zero, between least and most chunk sizes, never
-inside a character. A cut depends on nearby bytes only, so an insertion moves a few chunks and the rest stay. Chunks
-are compared by digest over all documents; the first document that holds a digest (by id) keeps it. Neighbouring
-repeated chunks form a span, and spans of at least `least_bytes` count: a passage of 50 words, of which chunks at its
-ends lie partly outside it, but not a phrase that recurs by chance.
+A gear hash rolls over the words of a text; a chunk of 26 words begins where it is least within each run of 51 words.
+The choice depends on the run alone, so a run that two documents share always has a chunk in common. Chunks are compared
+by digest over all documents, but only as candidates: around the repeated ones, all runs of 51 words are compared, and
+the first document that holds a run (by id) keeps it. Joined runs make a passage, exact to the word, with no text
+fetched from the other document. `boundaries` cuts a text's bytes by a gear hash of the last 16.
 """
 
 import hashlib
@@ -60,55 +60,145 @@ def boundaries(raw: bytes, least: int = 16, bits: int = 4, most: int = 96) -> li
     return ends
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc_id, seq, start, end): one row a chunk; start and end are bytes of the text in UTF-8."""
+CHUNK = 26  # words under the rolling hash, and at most between two cuts
+_MIX = 0x9E3779B97F4A7C15
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of a text in UTF-8: what white space parts; of scripts that are written
+    without spaces (ideographs, kana, hangul, Thai and Lao) each character is a word."""
+    b = np.frombuffer(raw, np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    after = np.append(space[1:], True)
+    if raw.isascii():
+        return np.flatnonzero(~space & np.insert(space[:-1], 0, True)), np.flatnonzero(~space & after) + 1
+    lead = (b & 0xC0) != 0x80
+    second = np.append(b[1:], np.uint8(0))
+    own = ((b >= 0xE3) & (b <= 0xED)) | (b >= 0xF0) | ((b == 0xE0) & (second >= 0xB8) & (second <= 0xBB))
+    owned = own[np.maximum.accumulate(np.where(lead, np.arange(len(b)), 0))]  # each byte as its character
+    begins = ~space & lead & (own | np.insert(space[:-1] | owned[:-1], 0, True))
+    starts = np.flatnonzero(begins)
+    ends = np.flatnonzero(~space & (after | np.append(begins[1:], True))) + 1
+    return starts, ends
+
+
+def _rolled(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, by doubling lengths."""
+    n = len(w) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h, span, at, out = w, 1, 0, np.zeros(n, np.uint64)
+    while True:
+        if k & span:
+            out = out * np.uint64(pow(_MIX, span, 1 << 64)) + h[at : at + n]
+            at += span
+        if 2 * span > k:
+            return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h[:-span] * np.uint64(pow(_MIX, span, 1 << 64)) + h[span:]
+        span *= 2
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def cuts(w: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the chunks that stand for a text: those of least gear hash in each run of
+    least_words words. A run that two texts share has such a chunk in common, wherever it lies."""
+    k = min(CHUNK, least_words)
+    gear = _rolled(w, k)
+    reach = least_words - k + 1
+    if len(gear) < reach:
+        return np.empty(0, np.int64), gear[:0]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(gear, reach).argmin(axis=1) + np.arange(len(gear) - reach + 1))
+    return at, gear[at]
+
+
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("doc_id is not null and t is not null")
+
+
+def _batches(rows: list[tuple[int, list[np.ndarray]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of a document's id and its columns, of bounded length."""
+    if rows:
+        ids = np.repeat(np.array([d for d, _ in rows], np.int64), [len(c[0]) for _, c in rows])
+        columns = [np.concatenate(c) for c in zip(*(c for _, c in rows), strict=True)]
+        for a in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (ids, *columns)], names=["doc_id", *names])
+
+
+def chunked(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, word): the chunks of `cuts`, word being the number of the chunk's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            values: list[np.ndarray] = []
+            rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = t.as_py().encode()
-                ends = boundaries(raw)
-                if not ends:
+                at, h = cuts(_digests(raw, *words_of(raw)), least_words) if raw else ((), ())
+                if len(at):
+                    rows.append((d, [h.view(np.int64), at.astype(np.int32)]))
+            yield from _batches(rows, ["digest", "word"])
+
+    return _given(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest long, word int")
+
+
+def _runs(docs: DataFrame, places: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, word, start, end): all runs of least_words words around the chunks that begin at `words`."""
+    k = min(CHUNK, least_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, t, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw = t.as_py().encode()
+                starts, ends = words_of(raw)
+                w = _digests(raw, starts, ends)
+                n = len(w) - least_words + 1
+                if n <= 0:
                     continue
-                starts = [0, *ends[:-1]]
-                h = np.fromiter((digest(raw[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, len(ends)).view(np.int64)
-                values.append(np.stack([h, np.full(len(ends), d, np.int64), np.arange(len(ends), dtype=np.int64), np.array(starts, np.int64), np.array(ends, np.int64)]))
-            if values:
-                v = np.concatenate(values, axis=1)
-                for a in range(0, v.shape[1], 1 << 16):
-                    part = v[:, a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), *(pa.array(x.astype(np.int32)) for x in part[2:])], names=["digest", "doc_id", "seq", "start", "end"])
-
-    given = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null and t is not null")
-    return given.mapInArrow(run, "digest long, doc_id long, seq int, start int, end int")
-
-
-def repeated_spans(docs: DataFrame, least_bytes: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first_doc_id, start_byte, end_byte, n_chunks): spans that an earlier document holds.
-
-    first_doc_id is the smallest id among the first holders of the span's chunks. The first holder of a passage, and
-    repeats inside one document, give no row; nor do null ids, null and empty texts. Rows of equal id are one document.
-    An empty table gives no row. A digest that many documents share is counted within partitions first, and the join
-    back streams over its rows, which Spark splits where they are skewed.
+                marks = np.zeros(n + 1, np.int64)
+                at = np.array(own.as_py(), np.int64)
+                np.add.at(marks, np.clip(at - (least_words - k), 0, n), 1)
+                np.add.at(marks, np.clip(at + 1, 0, n), -1)
+                i = np.flatnonzero(marks[:-1].cumsum() > 0)
+                if len(i):
+                    rows.append((d, [_rolled(w, least_words)[i].view(np.int64), i.astype(np.int32), starts[i].astype(np.int32), ends[i + least_words - 1].astype(np.int32)]))
+            yield from _batches(rows, ["digest", "word", "start", "end"])
+
+    return _given(docs, id_col, text_col).join(places, "doc_id").select("doc_id", "t", "words").mapInArrow(run, "doc_id long, digest long, word int, start int, end int")
+
+
+def _first_holders(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+
+
+def repeated_spans(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, first_doc_id, start_byte, end_byte, n_chunks): passages of at least least_words words, the same word by
+    word, that earlier documents hold, each to its exact ends; n_chunks counts its repeated runs of least_words words.
+
+    Passages that overlap are one span, and first_doc_id is the smallest id among the first holders of its runs. The
+    first holder of a passage, and repeats inside one document, give no row; nor do null ids, null and empty texts. Rows
+    of equal id are one document. An empty table gives no row. A digest that many documents share is counted within
+    partitions first, and the join back streams over its rows, which Spark splits where they are skewed.
     """
-    chunks = chunked(docs, id_col, text_col)
-    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    found = chunks.join(cut(first), "digest").where(F.col("doc_id") > F.col("first"))
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    run = found.select("doc_id", "seq", "start", "end", "first").withColumn("run", F.col("seq") - F.dense_rank().over(order))
-    spans = run.groupBy("doc_id", "run").agg(F.min("first").alias("first_doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.count(F.lit(1)).alias("n_chunks"))
-    return spans.where(F.col("end_byte") - F.col("start_byte") >= least_bytes).select("doc_id", "first_doc_id", "start_byte", "end_byte", "n_chunks")
+    chunks = cut(chunked(docs, least_words, id_col, text_col))
+    again = chunks.join(cut(_first_holders(chunks).select("digest")), "digest")
+    runs = cut(_runs(docs, again.groupBy("doc_id").agg(F.collect_set("word").alias("words")), least_words, id_col, text_col))
+    found = runs.join(cut(_first_holders(runs)), "digest").where(F.col("doc_id") > F.col("first"))
+    order = Window.partitionBy("doc_id").orderBy("word")
+    apart = found.withColumn("new", F.coalesce((F.col("word") - F.lag("word").over(order) >= least_words).cast("int"), F.lit(0)))
+    spans = apart.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "run")
+    return spans.agg(F.min("first").alias("first_doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.count(F.lit(1)).alias("n_chunks")).drop("run")
 
 
-def without_repeats(docs: DataFrame, least_bytes: int = 150, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with repeated spans cut from the texts, and length_col, where there is one, made to fit.
 
     A document of which nothing but white space is left goes; all others, and all other columns, stay.
     """
     own, holes = fresh("_doc", docs.columns), fresh("_holes", docs.columns)
-    spans = repeated_spans(docs, least_bytes, id_col, text_col)
+    spans = repeated_spans(docs, least_words, id_col, text_col)
     lists = cut(spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(holes)))
 
     @F.pandas_udf("string")

@@ -166,6 +166,22 @@ def test_chunks_resist_shifts_and_find_passages(spark):
         assert b"".join(b[x:y] for x, y in itertools.pairwise([0, *e])) == b and all(b[x:y].decode() for x, y in itertools.pairwise([0, *e]))
 
 
+def test_passages_are_exact_to_the_word(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 3))
+    texts, want = [], {}
+    for n in (50, 51, 51, 51, 51, 52, 60):  # passages of short words, of 204 bytes and more
+        passage = " ".join(word() for _ in range(n))
+        texts += [" ".join(word() for _ in range(90)) + "\n" + passage + " " + word() for _ in range(2)]
+        if n > 50:
+            want[len(texts) - 1] = (len(texts) - 2, texts[-1].encode().index(passage.encode()), passage)
+    far = "".join(chr(0x4E00 + i) for i in rng.integers(0, 5000, 70))
+    texts += ["é" + far, far + " x"]
+    want[len(texts) - 1] = (len(texts) - 2, 0, far)
+    got = {r.doc_id: (r.first_doc_id, r.start_byte, texts[r.doc_id].encode()[r.start_byte : r.end_byte].decode()) for r in chunks.repeated_spans(docs(spark, texts)).collect()}
+    assert got == want
+
+
 def test_chroma_alignment(spark):
     rng = np.random.default_rng(1)
     v = [list(rng.normal(0, 0.13, 64)) for _ in range(6)]
