@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import work_folder
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = frozenset("noscript template svg iframe select object".split())  # with all that is in them, if an end tag closes them
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html head body article main section nav header footer aside form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address fieldset legend details summary dialog center menu button label".split())
 _ENDS_P = _BLOCK - {"button", "label"}
@@ -59,6 +60,22 @@ def _noise(signature: str) -> bool:
     return tag in _OUTSIDE or bool(marks and _NOISE.search(marks.replace(".", " ")))
 
 
+def _hidden(tokens: list[re.Match]) -> dict[int, int]:
+    """For each start tag of a hidden element that has an end tag, that tag's place; self-closed ones are empty."""
+    opened: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for i, m in enumerate(tokens):
+        tag = (m[3] or m[6] or "").lower()
+        if tag in _HIDDEN:
+            own = opened.setdefault(tag, [])
+            if m[2] or m[5]:
+                if own:
+                    out[own.pop()] = i
+            elif not (m[4] or m[7] or "").rstrip().endswith("/"):
+                own.append(i)
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """All blocks of text in page order, white space turned into single spaces, character references decoded."""
     out: list[Block] = []
@@ -78,7 +95,12 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         del stack[at:]
 
-    for m in _TOKEN.finditer(page or ""):
+    tokens = list(_TOKEN.finditer(page or ""))
+    hidden = _hidden(tokens)
+    until = -1
+    for i, m in enumerate(tokens):
+        if i <= until:
+            continue
         text = m[8]
         if text is not None:
             parts.append(text)
@@ -88,6 +110,9 @@ def blocks(page: str | None) -> list[Block]:
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
+        if tag in _HIDDEN:
+            until = hidden.get(i, i)
+            continue
         if m[2] or m[5]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -123,11 +148,11 @@ def blocks(page: str | None) -> list[Block]:
                 close(at)
         if tag in _OPEN_UNTIL:
             same, bound = _OPEN_UNTIL[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bound:
+            for at in range(len(stack) - 1, -1, -1):
+                if stack[at][0] in bound:
                     break
-                if stack[i][0] in same.split():
-                    close(i)
+                if stack[at][0] in same.split():
+                    close(at)
                     break
         flush()
         if not attributes.rstrip().endswith("/"):

@@ -207,6 +207,13 @@ def test_wrappers(spark):
     assert wrappers.expression(wrappers.align(a, b)) == "(<div> (<p> # </>)+ (<ul> (<li> \"x\" </>) </>)? </>)"
 
 
+def test_wrappers_keep_what_follows_unclosed_elements():
+    for odd in ("<svg-icon></svg-icon>", "<title-bar>", "<select-box></select-box>", "<template-part>", "<svg width='1'/>", "<object data=x>", "<select><svg>", "<object><object>no</object>", "<svg><svg>no</svg><text>no</text></svg>", "<SELECT>no</Select>", "<script>no</script >"):
+        got = [text for _, text, _, _ in wrappers.blocks(f"<body><p>one</p>{odd}<p>two</p><p>three</p></body>")]
+        assert got == ["one", "two", "three"], odd
+    assert [b[1] for b in wrappers.blocks("<p>one</p><script>never closed <p>two</p>")] == ["one"]
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").toPandas()
