@@ -84,17 +84,13 @@ def fingerprints(recordings: DataFrame, id_col: str, pcm_col: str) -> DataFrame:
     return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).cast("binary").alias("p")).mapInArrow(run, "id long, codes array<long>")
 
 
-def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -> DataFrame:
-    """(query_id, id, offset, votes, overlap, bit_error): each query with every other recording that it shares at least
-    least_votes positions with at one offset; the offset with most votes (ties: fewest bit errors, then the smallest).
-
-    Recordings of equal codes are one class: votes and errors are found once for each class and then joined to its
-    members. Votes are keyed by two integers two frames apart, which silence or a held chord repeats: such a pair
-    counts once a recording and class of offsets. bit_error is the share of differing bits over the overlap. Null ids
-    and recordings without codes match nothing; repeated rows are one recording; an empty table gives no row.
-    """
+def _classes_of(prints: DataFrame) -> DataFrame:
     own = prints.where("id is not null and size(codes) > 2").groupBy("id").agg(F.first("codes").alias("codes"))
-    own = cut(own.withColumn("class", F.xxhash64("codes")))
+    return cut(own.withColumn("class", F.xxhash64("codes")))
+
+
+def _class_pairs(own: DataFrame, query: str, least_votes: int) -> DataFrame:
+    """(qc, class, offset, votes, overlap, bit_error): the best offset of each pair of classes, qc holding a query."""
     classes = own.groupBy("class").agg(F.first("codes").alias("codes"), F.max(F.expr(query)).alias("asked"))
     posts = classes.select("class", "asked", F.posexplode(F.expr("transform(sequence(1, size(codes) - 2), i -> shiftleft(codes[i - 1], 32) | codes[i + 1])")).alias("at", "pair"))
     posts = cut(posts.groupBy("class", "asked", "pair").agg(F.min("at").alias("at")))
@@ -110,8 +106,36 @@ def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -
         .withColumn("bit_error", F.expr(f"{text} / (32.0D * overlap)"))
     )
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qc", "class").orderBy(F.desc("votes"), "bit_error", "offset"))).where("r = 1")
+    return best.select("qc", "class", F.col("offset").cast("int").alias("offset"), "votes", "overlap", "bit_error")
+
+
+def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -> DataFrame:
+    """(query_id, id, offset, votes, overlap, bit_error): each query with every other recording that it shares at least
+    least_votes positions with at one offset; the offset with most votes (ties: fewest bit errors, then the smallest).
+
+    Recordings of equal codes are one class: votes and errors are found once for each class and then joined to its
+    members. Votes are keyed by two integers two frames apart, which silence or a held chord repeats: such a pair
+    counts once a recording and class of offsets. bit_error is the share of differing bits over the overlap. Null ids
+    and recordings without codes match
+    nothing; repeated rows are one recording; an empty table gives no row.
+    """
+    own = _classes_of(prints)
+    best = _class_pairs(own, query, least_votes)
     asked = own.where(query).select(F.col("id").alias("query_id"), F.col("class").alias("qc"))
-    return best.join(asked, "qc").join(own.select("id", "class"), "class").where("query_id != id").select("query_id", "id", F.col("offset").cast("int").alias("offset"), "votes", "overlap", "bit_error")
+    return best.join(asked, "qc").join(own.select("id", "class"), "class").where("query_id != id").select("query_id", "id", "offset", "votes", "overlap", "bit_error")
+
+
+def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -> DataFrame:
+    """(class, id, n_codes, other_class, offset, votes, overlap, bit_error): all that `align` finds, not multiplied out.
+
+    A membership row for each row of prints names its class and no other_class; a row without an id names each pair of
+    different classes, class holding a query. Partners of a query are the other members of its class (offset 0, no bit
+    error) and all members of the classes paired with it. The class is null where there are too few codes to match.
+    """
+    kept = cut(prints)
+    pairs = _class_pairs(_classes_of(kept), query, least_votes).where("qc != class")
+    members = kept.select(F.when(F.col("id").isNotNull() & (F.size("codes") > 2), F.xxhash64("codes")).alias("class"), "id", F.size("codes").alias("n_codes"))
+    return members.unionByName(pairs.select(F.col("qc").alias("class"), F.col("class").alias("other_class"), "offset", "votes", "overlap", "bit_error"), allowMissingColumns=True)
 
 
 def render(vector: list[float] | None, note: int = 500) -> bytes:

@@ -27,7 +27,7 @@ def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio: every vector of `embeddings` is rendered as a recording of 64 notes."""
-    return chroma.aligned(chroma.fingerprints(chroma.rendered(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "id", "pcm"))
+    return chroma.matches(chroma.fingerprints(chroma.rendered(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "id", "pcm"))
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,17 @@ def test_chroma_alignment(spark):
     assert chroma.aligned(prints).count() == len(rows)
 
 
+def test_chroma_keeps_all_partners(spark):
+    rng = np.random.default_rng(7)
+    one = chroma.render(list(rng.normal(0, 0.13, 64)))
+    rows = [(0, one), (1, one), (2, one), (3, one[2 * chroma.HOP * 9 :]), (4, None)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), "id", "pcm")
+    every = chroma.matches(prints).collect()
+    of = {r.id: r["class"] for r in every if r.other_class is None}
+    linked = {(r["class"], r.other_class) for r in every if r.other_class is not None}
+    assert set(of) == set(range(5)) and of[0] == of[1] == of[2] != of[3] and of[4] is None and linked == {(of[0], of[3])}
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a>m</a></ul></nav><div class='sidebar'>side</div><div class='c{n}'><h2>Head &eacute;{n}</h2><p>One &amp; {n}<p>Two\n\n more<br>here</div><div class='comments'><article>reader {n}</article></div><form>f</form><footer>foot</footer>"
 
 
