@@ -89,14 +89,18 @@ def _classes_of(prints: DataFrame) -> DataFrame:
     return cut(own.withColumn("class", F.xxhash64("codes")))
 
 
-def _class_pairs(own: DataFrame, query: str, least_votes: int) -> DataFrame:
+def _class_pairs(own: DataFrame, query: str, least_votes: int, most_error: float) -> DataFrame:
     """(qc, class, offset, votes, overlap, bit_error): the best offset of each pair of classes, qc holding a query."""
     classes = own.groupBy("class").agg(F.first("codes").alias("codes"), F.max(F.expr(query)).alias("asked"))
     posts = classes.select("class", "asked", F.posexplode(F.expr("transform(sequence(1, size(codes) - 2), i -> shiftleft(codes[i - 1], 32) | codes[i + 1])")).alias("at", "pair"))
-    posts = cut(posts.groupBy("class", "asked", "pair").agg(F.min("at").alias("at")))
-    a = posts.where("asked").select("pair", F.col("class").alias("qc"), F.col("at").alias("qa"))
-    b = posts.select("pair", "class", "at")
-    votes = a.join(b, "pair").groupBy("qc", "class", (F.col("qa") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least_votes)
+    # a code with one of its four bytes left out, for each byte: a position with all its bit errors in one byte meets
+    keys = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.shiftrightunsigned("pair", 32).bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * m))).alias("key")) for m in range(4)]))
+    posts = posts.withColumn("k", keys).select("class", "asked", "at", "pair", F.col("k.m").alias("m"), F.col("k.key").alias("key"))
+    a = posts.where("asked").select("m", "key", F.col("class").alias("qc"), F.col("at").alias("qa"), F.col("pair").alias("qp"))
+    b = posts.select("m", "key", "class", "at", "pair")
+    once = (F.col("m") == 0) | (F.shiftrightunsigned("qp", 32) != F.shiftrightunsigned("pair", 32))  # equal codes meet under all four
+    counted = a.join(b, ["m", "key"]).where(once).groupBy("qc", "class", (F.col("qa") - F.col("at")).alias("offset"))
+    votes = counted.agg(F.count(F.lit(1)).alias("votes"), F.count_if(F.col("qp") == F.col("pair")).alias("equal")).where(F.col("votes") >= least_votes)
     text = "aggregate(sequence(greatest(0, offset), least(size(q), size(c) + offset) - 1), 0L, (s, i) -> s + bit_count(q[i] ^ c[i - offset]))"
     scored = (
         votes.join(classes.select(F.col("class").alias("qc"), F.col("codes").alias("q")), "qc")
@@ -104,28 +108,29 @@ def _class_pairs(own: DataFrame, query: str, least_votes: int) -> DataFrame:
         .withColumn("overlap", F.expr("least(size(q), size(c) + offset) - greatest(0, offset)"))
         .where("overlap > 0")
         .withColumn("bit_error", F.expr(f"{text} / (32.0D * overlap)"))
+        .where((F.col("equal") >= least_votes) | (F.col("bit_error") <= most_error))
     )
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qc", "class").orderBy(F.desc("votes"), "bit_error", "offset"))).where("r = 1")
     return best.select("qc", "class", F.col("offset").cast("int").alias("offset"), "votes", "overlap", "bit_error")
 
 
-def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -> DataFrame:
+def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3, most_error: float = 0.2) -> DataFrame:
     """(query_id, id, offset, votes, overlap, bit_error): each query with every other recording that it shares at least
     least_votes positions with at one offset; the offset with most votes (ties: fewest bit errors, then the smallest).
 
     Recordings of equal codes are one class: votes and errors are found once for each class and then joined to its
-    members. Votes are keyed by two integers two frames apart, which silence or a held chord repeats: such a pair
-    counts once a recording and class of offsets. bit_error is the share of differing bits over the overlap. Null ids
-    and recordings without codes match
+    members. A position votes if two codes are equal but for bits of one byte, and all positions do, repeated ones too.
+    A pair counts if least_votes of them are equal in full, the code two frames on included, or if its bit_error, the
+    share of differing bits over the overlap, is at most most_error. Null ids and recordings without codes match
     nothing; repeated rows are one recording; an empty table gives no row.
     """
     own = _classes_of(prints)
-    best = _class_pairs(own, query, least_votes)
+    best = _class_pairs(own, query, least_votes, most_error)
     asked = own.where(query).select(F.col("id").alias("query_id"), F.col("class").alias("qc"))
     return best.join(asked, "qc").join(own.select("id", "class"), "class").where("query_id != id").select("query_id", "id", "offset", "votes", "overlap", "bit_error")
 
 
-def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3) -> DataFrame:
+def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3, most_error: float = 0.2) -> DataFrame:
     """(class, id, n_codes, other_class, offset, votes, overlap, bit_error): all that `align` finds, not multiplied out.
 
     A membership row for each row of prints names its class and no other_class; a row without an id names each pair of
@@ -133,7 +138,7 @@ def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3)
     error) and all members of the classes paired with it. The class is null where there are too few codes to match.
     """
     kept = cut(prints)
-    pairs = _class_pairs(_classes_of(kept), query, least_votes).where("qc != class")
+    pairs = _class_pairs(_classes_of(kept), query, least_votes, most_error).where("qc != class")
     members = kept.select(F.when(F.col("id").isNotNull() & (F.size("codes") > 2), F.xxhash64("codes")).alias("class"), "id", F.size("codes").alias("n_codes"))
     return members.unionByName(pairs.select(F.col("qc").alias("class"), F.col("class").alias("other_class"), "offset", "votes", "overlap", "bit_error"), allowMissingColumns=True)
 

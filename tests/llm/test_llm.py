@@ -205,6 +205,31 @@ def test_chroma_keeps_all_partners(spark):
     assert set(of) == set(range(5)) and of[0] == of[1] == of[2] != of[3] and of[4] is None and linked == {(of[0], of[3])}
 
 
+def test_chroma_meets_changed_copies(spark):
+    rng = np.random.default_rng(7)
+    rows, pcm = [], {}
+    for q in range(12):  # a query with copies: re-encoded, noisy, cut off the hop, exact twice
+        one = np.frombuffer(chroma.render(list(rng.normal(0, 0.13, 64))), "<i2").astype(np.float64)
+        made = [one, one // 64 * 64, one + rng.normal(0, 100, len(one)), one + rng.normal(0, 300, len(one)), one[int(3.3 * chroma.HOP) :], one, one]
+        for k, x in enumerate(made):
+            pcm[20 * q + k] = np.clip(x, -32768, 32767).astype("<i2")
+            rows.append((20 * q + k, pcm[20 * q + k].tobytes()))
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), "id", "pcm")
+    codes = {i: chroma.fingerprint(x / 32768.0) for i, x in pcm.items()}
+
+    def brute(a, b):
+        overlaps = [(a[max(0, o) : min(len(a), len(b) + o)], b[max(0, -o) : min(len(b), len(a) - o)]) for o in range(20 - len(b), len(a) - 20)]
+        return min(int(np.bitwise_count(x ^ y).sum()) / (32 * len(x)) for x, y in overlaps)
+
+    want = {(q, i) for q in codes if q % 20 == 0 for i in codes if i != q and brute(codes[q], codes[i]) <= 0.12}
+    got = {(r.query_id, r.id) for r in chroma.align(prints).collect()}
+    assert len(want) > 36 and len(want & got) >= 0.9 * len(want)
+    every = chroma.matches(prints).collect()
+    of = {r.id: r["class"] for r in every if r.other_class is None}
+    linked = {(r["class"], r.other_class) for r in every if r.other_class is not None}
+    assert len(of) == len(rows) and got == {(q, i) for q in of if q % 20 == 0 for i in of if i != q and (of[q] == of[i] or (of[q], of[i]) in linked)}
+
+
 PAGE = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a>m</a></ul></nav><div class='sidebar'>side</div><div class='c{n}'><h2>Head &eacute;{n}</h2><p>One &amp; {n}<p>Two\n\n more<br>here</div><div class='comments'><article>reader {n}</article></div><form>f</form><footer>foot</footer>"
 
 
