@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import threading
 import uuid
@@ -21,15 +23,21 @@ _LOCK = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: `spark.checkpoint.dir`, or, only where that is unset, one of our own.
+    """The folder that all executors reach: `spark.checkpoint.dir`. Only where that is unset and Spark runs in one
+    process, as in tests, a folder of our own serves, which goes when the process ends; on a cluster it is an error.
 
     Spark's checkpoint folder is set to it as well if the context has none yet.
     """
     with _LOCK:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = getattr(spark, "_metrolith_folder", None) or f"file://{tempfile.mkdtemp(prefix='metrolith-')}"
-            spark._metrolith_folder = root
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = getattr(spark, "_metrolith_folder", None)
+            if root is None:
+                made = tempfile.mkdtemp(prefix="metrolith-")
+                atexit.register(shutil.rmtree, made, ignore_errors=True)
+                root = spark._metrolith_folder = f"file://{made}"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,14 +54,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lowers the session's rows an Arrow batch: texts of some thousand characters by ten thousands, as is Spark's own
+    setting, cost each Python worker, and the executor beside it, a hundred megabytes and more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[len("file:") :]
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
 
-def has_rows(df: DataFrame) -> bool:
-    return not df.isEmpty()
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder below the shared one, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(wanted: str, taken: list[str]) -> str:
@@ -115,15 +133,16 @@ class Encoder:
     Both vocabularies split a text into pieces before any merge, and no piece crosses a single space or line end
     between two other characters: so the ids of what lies between them don't depend on its neighbours. The library's
     merge model encodes each distinct word; a bounded table answers for repeated ones. A text with characters outside
-    a plain Latin range, or of an unknown vocabulary, goes to the library as a whole. The strings of special tokens
-    count as ordinary text.
+    a plain Latin range, or of an unknown vocabulary, goes to the library as a whole; so does one with a string of an
+    added token, whatever its case. The tables hold `keep` words twice and an eighth of that of pieces, each of less
+    than 40 characters: about 50 MB at most.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 100_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = tuple({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
         self.split, self.lower = _ROADS.get(os.path.basename(path), (None, False))
         self.model = self.library.model
         if hasattr(self.model, "_resize_cache"):  # the table below does better than the library's own cache of words
@@ -156,24 +175,23 @@ class Encoder:
             return b""
         if self.split is None or _UNUSUAL.search(text):
             return self.whole(text)
+        low = text.lower()
+        if any(x in low for x in self.added):
+            return self.whole(text)
         if self.lower:
-            return b"".join(map(self.words.__getitem__, text.lower().split()))
+            return b"".join(map(self.words.__getitem__, low.split()))
         if _RAGGED.search(text):
             return b"".join(map(self.marks.__getitem__, self.split.findall(text)))
         head, *rest = text.replace("\n", " \n").split(" ")
         return b"".join(map(self.marks.__getitem__, self.split.findall(head))) + b"".join(map(self.words.__getitem__, rest))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary."""
     return Encoder(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 # ---------------------------------------------------------------- connected components
 
 
@@ -182,11 +200,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps until no edge changes, so the number of steps grows with the
     logarithm of the longest chain; each step is cut into the shared folder, and nothing but one number comes back
-    to the driver. A node of many edges is grouped by Spark's partial aggregation, never gathered as a list: both
+    to the driver (their number and checksums). A node of many edges is grouped by Spark's partial aggregation, never gathered as a list: both
     stars need only the minimum of a neighbourhood, joined back to its edges.
     """
-    now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u != v").distinct()
-    now = cut(now)
+    def told(df: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+
+    now = cut(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u != v").distinct())
+    before = told(now)
     while True:
         # large star: every neighbour above u links to the smallest of u's neighbourhood, u included
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -195,9 +217,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: the neighbours at or below u, and u itself, link to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        then = cut(small.select("e.u", "e.v").where("u != v").distinct())
-        changed = then.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(then, ["u", "v"], "left_anti").limit(1).count()
-        now = then
-        if not changed:
+        now = cut(small.select("e.u", "e.v").where("u != v").distinct())
+        after = told(now)
+        if after == before:
             break
+        before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
