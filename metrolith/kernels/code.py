@@ -1,4 +1,5 @@
-"""Pure functions from Python source to numbers; no Spark here. One parse and one tokenisation a text serve all."""
+"""Pure functions from Python source to numbers; no Spark here. One parse and one tokenisation a text serve all: the
+kernels of a text are called one after the other, and the last few texts' sources are kept."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import ast
 import io
 import keyword
 import tokenize
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -26,7 +28,7 @@ class Source:
     nodes: list[tuple[ast.AST, int]] = field(default_factory=list)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=4)
 def source(code: str) -> Source:
     out = Source(code)
     if not code or not code.strip():
@@ -123,12 +125,13 @@ _BRANCH = {"if", "elif", "for", "while", "and", "or", "except", "assert"}
 
 
 def function_rows(code: str) -> list[dict]:
-    """One row a function: the token reading, with cognitive points."""
+    """One row a function: the token reading, with cognitive points. Tokens lie in order, so a function's are a slice."""
     s = source(code)
     plain = [t for t in s.tokens if t.type not in _LAYOUT]
+    starts, lines = [t.start for t in plain], [t.end[0] for t in plain]
     out = []
     for f in functions_of(s):
-        own = [t for t in plain if (f.lineno, f.col_offset) <= t.start and t.end <= (f.end_lineno, 10**9)]
+        own = plain[bisect_left(starts, (f.lineno, f.col_offset)) : bisect_right(lines, f.end_lineno)]
         operators = [t.string for t in own if t.type == tokenize.OP or t.type == tokenize.NAME and keyword.iskeyword(t.string)]
         operands = [t.string for t in own if not (t.type == tokenize.OP or t.type == tokenize.NAME and keyword.iskeyword(t.string))]
         a = f.args
@@ -275,20 +278,34 @@ def structure(code: str, similar: float = 0.85, least_nodes: int = 12) -> dict:
     cbo = [len({n.id for n in ast.walk(c) if isinstance(n, ast.Name) and n.id[:1].isupper() and n.id != c.name} | {n.attr for n in ast.walk(c) if isinstance(n, ast.Attribute) and n.attr in names}) for c in found]
     bodies = [b for n, _ in s.nodes for name in ("body", "orelse", "finalbody") if isinstance(b := getattr(n, name, None), list) and b]
     shapes = [x for x in map(_shape, fs) if x.total() >= least_nodes]
-    pairs = []
-    for i, a in enumerate(shapes):
-        for j in range(i):
-            b = shapes[j]
-            if min(a.total(), b.total()) >= similar * max(a.total(), b.total()) and (k := (a & b).total() / (a | b).total()) >= similar:
-                pairs.append((i, j, k))
-    group = list(range(len(shapes)))
-    for i, j, _ in pairs:
-        x, y = group[i], group[j]
-        group = [y if g == x else g for g in group]
-    members = {i for p in pairs for i in p[:2]}
+    kinds = Counter(frozenset(x.items()) for x in shapes)  # like functions are one shape, so that they aren't compared
+    distinct = sorted(((dict(k), sum(n for _, n in k), many) for k, many in kinds.items()), key=lambda x: x[1])
+    group, pairs, alike = list(range(len(distinct))), 0, 0.0
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    linked = {i for i, (_, _, many) in enumerate(distinct) if many > 1}
+    for i, (x, size, many) in enumerate(distinct):
+        pairs += many * (many - 1) // 2
+        alike += many * (many - 1) // 2
+        j = i + 1
+        while j < len(distinct) and size >= similar * distinct[j][1]:  # sizes ascend
+            y, other, more = distinct[j]
+            both = sum(min(n, y.get(k, 0)) for k, n in x.items())
+            share = both / (size + other - both)
+            if share >= similar:
+                pairs += many * more
+                alike += many * more * share
+                linked |= {i, j}
+                group[root(i)] = root(j)
+            j += 1
     return {
-        "cbo": cbo, "lcom": [_lcom(c) for c in found], "class_count": len(found), "dead_code_findings": sum(map(_unreachable, bodies)), "blocks": len(bodies), "clone_count": len(members), "clone_pairs": len(pairs), "clone_groups": len({group[i] for i in members}),
-        "similarity": [k for _, _, k in pairs], "clone_fragments_analysed": len(shapes), "function_count": len(fs), "sloc": at["sloc"], "lloc": sum(isinstance(n, ast.stmt) for n, _ in s.nodes), "comment_lines": at["comments"], "docstring_lines": at["docstring"],
+        "cbo": cbo, "lcom": [_lcom(c) for c in found], "class_count": len(found), "dead_code_findings": sum(map(_unreachable, bodies)), "blocks": len(bodies), "clone_count": sum(distinct[i][2] for i in linked), "clone_pairs": pairs, "clone_groups": len({root(i) for i in linked}),
+        "similarity": alike if pairs else None, "clone_fragments_analysed": len(shapes), "function_count": len(fs), "sloc": at["sloc"], "lloc": sum(isinstance(n, ast.stmt) for n, _ in s.nodes), "comment_lines": at["comments"], "docstring_lines": at["docstring"],
     }
 
 

@@ -1,8 +1,8 @@
-"""Fragments to metrics: one Arrow UDF an engine, everything that is algebra in native columns.
+"""Fragments to metrics: one Arrow UDF for all chosen engines, everything that is algebra in native columns.
 
-A fragment is a row (fragment_id, code). Catalyst prunes the engines that a query doesn't use, and all engines of a
-query share one Arrow exchange. A fragment that doesn't parse keeps its row, with nulls; an engine that fails on one
-leaves nulls and a row in `degradations`; nothing raises.
+A fragment is a row (fragment_id, code). It is parsed and tokenised once, and all chosen engines read that; what no
+engine needs isn't computed. A fragment that doesn't parse keeps its row, with nulls; an engine that fails on one leaves
+nulls and a row in `degradations`; nothing raises. Engines that are external programs run where the fragments are.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.columns import divergence, halstead, is_true, maintainability
 from ..kernels import code as K
+from ..kernels import programs as P
 from ..plans import specs as S
 
 L, D, B, T = LongType(), DoubleType(), BooleanType(), StringType()
@@ -40,7 +42,7 @@ _KERNELS: dict[str, tuple[Callable[[str], dict], StructType]] = {
     "ast": (K.tree, _struct(**_longs("ast_depth total_nodes functiondef_count classdef_count return_count call_count assign_count comprehension_count try_count decorator_count loops ifs imports class_count noc_max base_classes_external operational_node_count"), dit=ArrayType(L), rfc=ArrayType(L), methods=ArrayType(L))),
     "lexical": (K.lexical, _struct(**_longs("distinct_tokens lexical_tokens distinct_identifiers distinct_variables distinct_functions_defined distinct_calls distinct_attributes distinct_imports"))),
     "cognitive": (K.whole_cognitive, _struct(cognitive_complexity=L, points=ArrayType(L))),
-    "structure": (K.structure, _struct(**_longs("class_count dead_code_findings blocks clone_count clone_pairs clone_groups clone_fragments_analysed function_count sloc lloc comment_lines docstring_lines"), cbo=ArrayType(L), lcom=ArrayType(L), similarity=ArrayType(D))),
+    "structure": (K.structure, _struct(**_longs("class_count dead_code_findings blocks clone_count clone_pairs clone_groups clone_fragments_analysed function_count sloc lloc comment_lines docstring_lines"), cbo=ArrayType(L), lcom=ArrayType(L), similarity=D)),
     "unused": (K.unused, _struct(found=ArrayType(L))),
     "security": (K.security, _struct(severity=ArrayType(T), confidence=ArrayType(T))),
 }
@@ -53,35 +55,36 @@ def register_engine(name: str, specs: list[tuple[str, str]], kernel: Callable[[s
     _USER[name] = ([S.MetricSpec(name, k, kind, "file", "count", "invalid_input") for k, kind in specs], kernel)
 
 
-def guarded(kernel: Callable, schema, empty=None):  # noqa: ANN001, ANN201
-    """A pandas UDF (code) -> struct<values, failure>; what isn't declared is dropped, what fails is told."""
-    names = [f.name for f in schema] if isinstance(schema, StructType) else None
-    full = _struct(values=schema, failure=T)
-
-    @F.pandas_udf(full)
-    def run(codes: pd.Series) -> pd.DataFrame:
-        values, failures = [], []
-        for c in codes:
-            got, failed = None, None
-            try:
-                s = K.source(c) if isinstance(c, str) else None
-                if s is not None and s.failure:
-                    failed = s.failure
-                elif s is not None and s.tree is not None:
-                    got = kernel(c)
-                    got = {k: got.get(k) for k in names} if names else got
-            except Exception as e:  # noqa: BLE001 - a failure is a row, not the end of the batch
-                failed = f"{type(e).__name__}: {e}"[:300]
-            values.append(got)
-            failures.append(failed)
-        return pd.DataFrame({"values": values, "failure": failures})
+def _one(kernels: dict[str, tuple[Callable[[str], dict], list[str] | None]], code: object) -> dict:
+    """{validity, engine: {values, failure}} of one text; what isn't declared is dropped, what fails is told."""
+    out: dict = {"valid": False, **{e: {"values": None, "failure": None} for e in kernels}}
+    try:
+        s = K.source(code) if isinstance(code, str) else None
+    except Exception as e:  # noqa: BLE001
+        return out | {k: {"values": None, "failure": f"{type(e).__name__}: {e}"[:300]} for k in kernels}
+    if s is None or s.tree is None:
+        return out if s is None or not s.failure else out | {k: {"values": None, "failure": s.failure} for k in kernels}
+    out["valid"] = True
+    for engine, (kernel, names) in kernels.items():
+        try:
+            got = kernel(code)
+            out[engine] = {"values": {k: got.get(k) for k in names} if names else got, "failure": None}
+        except Exception as e:  # noqa: BLE001 - a failure is a row, not the end of the batch
+            out[engine] = {"values": None, "failure": f"{type(e).__name__}: {e}"[:300]}
+    return out
 
-    return run
 
+def fused(kernels: dict[str, tuple[Callable, object]]):  # noqa: ANN201
+    """An Arrow UDF (code) -> struct<valid, engine: struct<values, failure>...>: one parse a text for all kernels."""
+    full = StructType([StructField("valid", B), *[StructField(e, _struct(values=t, failure=T)) for e, (_, t) in kernels.items()]])
+    run_of = {e: (k, [f.name for f in t] if isinstance(t, StructType) else None) for e, (k, t) in kernels.items()}
+    arrow = to_arrow_type(full)
 
-@F.pandas_udf(B)
-def _valid(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda c: isinstance(c, str) and K.source(c).tree is not None)
+    @F.arrow_udf(full)
+    def run(codes: pa.Array) -> pa.Array:
+        return pa.array([_one(run_of, c.as_py()) for c in codes], arrow)
+
+    return run
 
 
 def _series(c: str, prefix: str, spec: str = "mean max min") -> dict[str, Column]:
@@ -144,7 +147,7 @@ def _values(engine: str) -> dict[str, Column]:
         return {"cognitive_complexity": v("cognitive_complexity")} | _series(name("points"), "cognitive_complexity")
     if engine == "structure":
         plain = "class_count dead_code_findings clone_count clone_pairs clone_groups clone_fragments_analysed function_count sloc lloc comment_lines docstring_lines"
-        out = {k: v(k) for k in plain.split()} | {"dead_code_ratio": F.round(F.try_divide(v("dead_code_findings").cast("double"), v("blocks")), 6), "clone_similarity_mean": _series(name("similarity"), "x", "mean")["x_mean"]}
+        out = {k: v(k) for k in plain.split()} | {"dead_code_ratio": F.round(F.try_divide(v("dead_code_findings").cast("double"), v("blocks")), 6), "clone_similarity_mean": F.round(F.try_divide(v("similarity"), v("clone_pairs").cast("double")), 4)}
         for c, prefix, spec in ((name("cbo"), "cbo", "mean max"), (name("lcom"), "lcom", "mean max"), (each("cognitive_complexity"), "cognitive_complexity", "mean"), (each("plain_complexity"), "cyclomatic_complexity", "mean max"), (each("max_nesting_depth"), "nesting_depth", "mean max")):
             out |= _series(c, prefix, spec)
         return out
@@ -164,15 +167,22 @@ def _values(engine: str) -> dict[str, Column]:
 class MetricFrame:
     """The measured fragments; every table is derived lazily from one intermediate, `rows`."""
 
-    def __init__(self, fragments: DataFrame, engines: tuple[str, ...], threshold: float, generation: dict | None) -> None:
+    def __init__(self, fragments: DataFrame, engines: tuple[str, ...], threshold: float, generation: dict | None, tasks: int | None = None) -> None:
         self.engines, self.threshold, self.generation = engines, threshold, generation
         kernels = {e: _KERNELS[e] for e in engines if e in _KERNELS}
+        kernels |= {e: (P.ENGINES[e].kernel, _struct(**{s.key: s.type for s in S.specs_of((e,))})) for e in engines if e in P.ENGINES}
         kernels |= {n: (k, _struct(**{s.key: s.type for s in specs})) for n, (specs, k) in _USER.items()}
+        if set(engines) & {"token", "cognitive", "structure"} or not engines:
+            kernels["functions"] = (K.function_rows, ArrayType(_FUNCTION))
         self.user = tuple(_USER)
-        made = [guarded(k, t)(F.col("code")).alias(f"_{e}") for e, (k, t) in kernels.items()]
-        self.rows = fragments.select(F.col("fragment_id").cast("string").alias("fragment_id"), F.col("code").cast("string").alias("code")).select(
-            "fragment_id", "code", F.sha2("code", 256).alias("code_sha256"), _valid("code").alias("is_valid_python"), F.lit("python").alias("language"), guarded(K.function_rows, ArrayType(_FUNCTION))(F.col("code")).alias("_functions"), *made
-        )
+        given = fragments.select(F.col("fragment_id").cast("string").alias("fragment_id"), F.col("code").cast("string").alias("code"))
+        if tasks:
+            given = given.repartition(tasks)
+        made = given.select("fragment_id", "code", fused(kernels)(F.col("code")).alias("_m"))
+        parts = [F.col(f"_m.{e}").alias(f"_{e}") for e in kernels]
+        if "functions" not in kernels:
+            parts.append(F.lit(None).cast(_struct(values=ArrayType(_FUNCTION), failure=T)).alias("_functions"))
+        self.rows = made.select("fragment_id", F.sha2("code", 256).alias("code_sha256"), F.coalesce(F.col("_m.valid"), F.lit(False)).alias("is_valid_python"), F.lit("python").alias("language"), *parts)
 
     def persist(self) -> MetricFrame:
         self.rows = self.rows.persist()
@@ -183,7 +193,7 @@ class MetricFrame:
         columns = [F.col(c) for c in S.IDENTITY]
         readings: dict[str, Column] = {}
         for s in S.specs_of(self.engines):
-            got = _values(s.engine).get(s.key, F.lit(None)) if s.engine in _KERNELS else F.lit(None)
+            got = _values(s.engine).get(s.key, F.lit(None)) if s.engine in _KERNELS else F.col(f"_{s.engine}.values.{s.key}") if s.engine in P.ENGINES else F.lit(None)
             readings[s.column] = got.cast(s.type).alias(s.column)
         user = [F.col(f"_{e}.values.{s.key}").cast(s.type).alias(s.column) for e in self.user for s in _USER[e][0]]
         table = self.rows.select(*columns, *readings.values(), *user)
@@ -239,9 +249,9 @@ class MetricFrame:
 
         body = {"schema_version": S.SCHEMA_VERSION, "engines": list(self.engines), "threshold": self.threshold}
         out = {
-            "run_id": hashlib.sha256(json.dumps([body, datetime.now(UTC).isoformat()]).encode()).hexdigest()[:32], "generated_at": datetime.now(UTC).isoformat(), "analysis_chain": [{"engine": e, "version": S.SCHEMA_VERSION if e in _KERNELS else None, "available": e in _KERNELS} for e in self.engines],
+            "run_id": hashlib.sha256(json.dumps([body, datetime.now(UTC).isoformat()]).encode()).hexdigest()[:32], "generated_at": datetime.now(UTC).isoformat(), "analysis_chain": [{k: r[k] for k in ("engine", "version", "path", "available")} for r in doctor() if r["engine"] in self.engines],
             "interpreter": {"implementation": platform.python_implementation(), "version": sys.version.split()[0]}, "package": {"name": "metrolith", **body}, "environment": {"os": platform.system(), "host_hash": hashlib.sha256(platform.node().encode()).hexdigest()[:16]},
-            "inputs": {"fragment_count": self.rows.count()},
+            "inputs": {"fragment_count": self.rows.select("fragment_id").count()},
         }
         return out | ({"generation": self.generation} if self.generation else {})
 
@@ -249,22 +259,45 @@ class MetricFrame:
         return {"metrics": self.metrics(), "functions": self.functions(), "degradations": self.degradations()}
 
     def write(self, folder: str, kind: str = "parquet", prefix: str = "metrolith_") -> list[str]:
-        """Every table that isn't empty, as parquet (authoritative) or csv (types are lost), and provenance as JSON."""
+        """Every table that isn't empty, as parquet (authoritative) or csv (types are lost), and provenance as one JSON
+        file. The fragments are measured once: unless `rows` is kept already, it is for as long as this takes."""
+        kept = not self.rows.is_cached
+        if kept:
+            self.rows.persist()
         made = []
-        for name, df in self._tables().items():
-            if not df.isEmpty():
-                w = df.write.mode("overwrite")
-                (w.parquet if kind == "parquet" else w.option("header", True).csv)(f"{folder}/{prefix}{name}")
-                made.append(name)
-        spark = self.rows.sparkSession
-        spark.createDataFrame([(json.dumps(self.provenance, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{prefix}provenance")
+        try:
+            for name, df in self._tables().items():
+                if not df.isEmpty():
+                    w = df.write.mode("overwrite")
+                    (w.parquet if kind == "parquet" else w.option("header", True).csv)(f"{folder}/{prefix}{name}")
+                    made.append(name)
+            write_text(self.rows.sparkSession, f"{folder}/{prefix}provenance.json", json.dumps(self.provenance, indent=2))
+        finally:
+            if kept:
+                self.rows.unpersist()
         return [*made, "provenance"]
 
 
-def measure(fragments: DataFrame, engines: list[str] | None = None, threshold: float = S.THRESHOLD, include_optional: bool = False, generation: dict | None = None) -> MetricFrame:
-    """fragments: (fragment_id, code). Unknown engine names raise ValueError."""
-    return MetricFrame(fragments, S.select_engines(engines, include_optional), threshold, generation)
+def write_text(spark, uri: str, text: str) -> None:  # noqa: ANN001
+    """A small file on any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def measure(fragments: DataFrame, engines: list[str] | None = None, threshold: float = S.THRESHOLD, include_optional: bool = False, generation: dict | None = None, tasks: int | None = None) -> MetricFrame:
+    """fragments: (fragment_id, code). Unknown engine names raise ValueError. tasks: into how many tasks the fragments are
+    dealt first; due where a few files hold many, since a fragment takes milliseconds."""
+    return MetricFrame(fragments, S.select_engines(engines, include_optional), threshold, generation, tasks)
 
 
 def doctor() -> list[dict]:
-    return [{"engine": e, "default": e in S.DEFAULT, "available": e in _KERNELS, "version": S.SCHEMA_VERSION if e in _KERNELS else None} for e in S.DEFAULT + S.OPTIONAL]
+    """Of each engine whether it is a default one, and available here: our own always, programs where they answer."""
+    out = []
+    for e in S.DEFAULT + S.OPTIONAL:
+        path, version = P.ENGINES[e].probe() if e in P.ENGINES else (None, S.SCHEMA_VERSION)
+        out.append({"engine": e, "default": e in S.DEFAULT, "available": version is not None, "version": version, "path": path})
+    return out
