@@ -22,7 +22,11 @@ def null_rates(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def divergence_summary(table: DataFrame, metrics: list[str]) -> DataFrame:
-    """(metric, compared, divergent, divergent_rate, ratio_median, ratio_max); metrics never compared are left out."""
+    """(metric, compared, divergent, divergent_rate, ratio_median, ratio_max); metrics never compared are left out, and
+    without any metric there is no row."""
+    if not metrics:
+        none = table.sparkSession.createDataFrame([], "metric string, compared long, divergent long, divergent_rate double, ratio_median double, ratio_max double")
+        return none
     aggs = []
     for m in metrics:
         ratio, flag = F.col(delta_column(m)), F.col(divergent_column(m))

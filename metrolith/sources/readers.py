@@ -11,10 +11,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import code_blocks, python_blocks
 
 
-def read_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(fragment_id, code): a file, or all *.py below a folder; bytes that aren't UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(path)
-    return files.select(F.col("path").alias("fragment_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
+def read_paths(spark: SparkSession, *paths: str) -> DataFrame:
+    """(fragment_id, code): files, and all *.py below folders; bytes that aren't UTF-8 are replaced. The id is the path as
+    it was asked for (without the scheme of local files). A path that isn't there raises, as Spark does."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(list(paths))
+    return files.select(F.regexp_replace("path", r"^file:/*(?=/)", "").alias("fragment_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("code"))
 
 
 def from_strings(spark: SparkSession, fragments: dict[str, str] | list[str]) -> DataFrame:
@@ -39,9 +40,30 @@ def from_responses(responses: DataFrame, key: str, raw: str, python_only: bool =
     return out.select(F.concat_ws("#", "k", "block_index").alias("fragment_id"), "block_index", "b.language", "b.code")
 
 
-def _git(repo: str, *args: str) -> str | None:
-    done = subprocess.run(["git", "-C", repo, *args], capture_output=True, timeout=60, check=False)
-    return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
+class GitError(ValueError):
+    """What git said of a folder or revision that it can't read."""
+
+
+def _git(repo: str, *args: str, given: bytes | None = None) -> bytes:
+    done = subprocess.run(["git", "-C", repo, *args], input=given, capture_output=True, timeout=60, check=False)
+    if done.returncode:
+        raise GitError(f"git {args[0]} in {repo}: {done.stderr.decode('utf-8', 'replace').strip()[:300]}")
+    return done.stdout
+
+
+def _blobs(repo: str, names: list[str]) -> list[str | None]:
+    """Texts of revision:path names, in their order, from one process; null for what is no file."""
+    raw, at, out = _git(repo, "cat-file", "--batch", given="".join(f"{n}\n" for n in names).encode()), 0, []
+    for _ in names:
+        end = raw.index(b"\n", at)
+        kind, at = raw[at:end].split(b" "), end + 1
+        if len(kind) == 3 and kind[1] == b"blob":
+            out.append(raw[at : at + int(kind[2])].decode("utf-8", "replace"))
+        else:
+            out.append(None)
+        if len(kind) == 3 and kind[-1].isdigit():
+            at += int(kind[2]) + 1
+    return out
 
 
 class _Revision(InputPartition):
@@ -50,22 +72,23 @@ class _Revision(InputPartition):
 
 
 class GitReader(DataSourceReader):
-    """One partition a revision; files are read where the partition runs."""
+    """One partition a revision; its files are read by one process, where the partition runs. A folder that is no
+    repository, or a branch that isn't there, raises when the table is planned."""
 
     def __init__(self, options: dict) -> None:
         self.repo, self.branch = options["path"], options.get("branch", "HEAD")
         self.limit, self.every, self.files, self.suffix = int(options.get("limit", 200)), int(options.get("every", 1)), int(options.get("files", 50)), options.get("suffix", ".py")
 
     def partitions(self) -> list[InputPartition]:
-        log = _git(self.repo, "log", f"--max-count={self.limit}", "--format=%H%x1f%aI%x1f%an%x1f%s", self.branch) or ""
+        log = _git(self.repo, "log", f"--max-count={self.limit}", "--format=%H%x1f%aI%x1f%an%x1f%s", self.branch).decode("utf-8", "replace")
         rows = [r for line in log.splitlines() if len(r := line.split("\x1f")) == 4][:: self.every]
         return [_Revision([*r, len(rows) - 1 - i]) for i, r in enumerate(rows)]
 
     def read(self, partition):  # noqa: ANN001, ANN201
         sha, when, author, subject, index = partition.fields
-        paths = sorted(p for p in (_git(self.repo, "ls-tree", "-r", "--name-only", sha) or "").splitlines() if p.endswith(self.suffix))[: self.files]
-        for path in paths:
-            text = _git(self.repo, "show", f"{sha}:{path}")
+        listed = _git(self.repo, "ls-tree", "-r", "-z", "--name-only", sha).decode("utf-8", "surrogateescape").split("\0")
+        paths = sorted(p for p in listed if p.endswith(self.suffix) and "\n" not in p)[: self.files]
+        for path, text in zip(paths, _blobs(self.repo, [f"{sha}:{p}" for p in paths]) if paths else [], strict=True):
             if text is not None:
                 yield (sha, index, when, author, subject, path, text)
 
@@ -87,10 +110,10 @@ def read_history(spark: SparkSession, repo: str, **options: object) -> DataFrame
     return spark.read.format("git_history").options(**{k: str(v) for k, v in options.items()}).load(repo)
 
 
-def measure_history(spark: SparkSession, repo: str, engines: list[str] | None = None, **options: object) -> DataFrame:
+def measure_history(spark: SparkSession, repo: str, engines: list[str] | None = None, include_optional: bool = False, **options: object) -> DataFrame:
     """A row a revision and file: its identity, then all metrics."""
     from ..operators.measure import measure
 
     rows = read_history(spark, repo, **options).withColumn("fragment_id", F.concat_ws(":", F.substring("sha", 1, 12), "path"))
-    metrics = measure(rows.select("fragment_id", "code"), engines or ["five_op", "token", "ast", "cognitive"]).metrics()
+    metrics = measure(rows.select("fragment_id", "code"), engines or (None if include_optional else ["five_op", "token", "ast", "cognitive"]), include_optional=include_optional).metrics()
     return rows.drop("code").join(metrics, "fragment_id").drop("fragment_id", "code_sha256", "language")

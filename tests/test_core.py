@@ -128,3 +128,126 @@ def test_doctor_and_entry(spark):
     assert all(r["available"] for r in doctor() if r["default"])
     assert set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() > 0
+
+
+def test_a_folder_that_is_no_repository_says_so(spark, tmp_path):
+    with pytest.raises(Exception, match="git log"):
+        read_history(spark, str(tmp_path)).collect()
+
+
+def test_history_is_measured(spark, tmp_path):
+    import subprocess
+
+    from metrolith.__main__ import main
+    from metrolith.sources.readers import measure_history
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i in range(3):
+        (tmp_path / "m.py").write_text("def f(x):\n    return x\n" * (i + 1))
+        (tmp_path / "é x.py").write_bytes(b"y = '\xff'\n")
+        run("add", ".")
+        run("commit", "-qm", f"c{i}")
+    rows = measure_history(spark, str(tmp_path), ["ast"]).orderBy("revision_index", "path").collect()
+    assert [(r.revision_index, r.path, r.functiondef_count__ast) for r in rows] == [(i, p, n) for i in range(3) for p, n in (("m.py", i + 1), ("é x.py", 0))]
+    assert main(["history", str(tmp_path), "--engines", "ast", "--trend", "functiondef_count__ast", "--how", "sum", "--csv", str(tmp_path / "out")]) == 0
+    got = spark.read.option("header", True).csv(str(tmp_path / "out" / "metrolith_history")).orderBy("revision_index").collect()
+    assert [int(r.value) for r in got] == [1, 2, 3]
+
+
+def test_one_parse_a_text(spark, monkeypatch):
+    """All engines of a fragment read one parse."""
+    from metrolith.operators import measure as M
+
+    calls = []
+    real = K.ast.parse
+    monkeypatch.setattr(K.ast, "parse", lambda c: calls.append(c) or real(c))
+    kernels = {e: (k, [f.name for f in t]) for e, (k, t) in M._KERNELS.items()} | {"functions": (K.function_rows, None)}
+    codes = [f"def f{i}(x):\n    return x + {i}\n" for i in range(200)]
+    made = [M._one(kernels, c) for c in codes]
+    assert len(calls) == 200 and all(m["valid"] and not any(m[e]["failure"] for e in kernels) for m in made)
+
+
+def test_like_functions_are_not_compared():
+    import time
+
+    code = "".join(f"def f{i}(a, b):\n    total = 0\n    for x in b:\n        if x > {i}:\n            total += a * x\n    return total\n" for i in range(1500))
+    t = time.process_time()
+    s = K.structure(code)
+    assert (s["clone_count"], s["clone_pairs"], s["clone_groups"]) == (1500, 1500 * 1499 // 2, 1) and len(K.function_rows(code)) == 1500
+    assert time.process_time() - t < 30
+
+
+FAKE = """#!{python}
+import sys, time
+if "--version" in sys.argv:
+    print("{name} 3.1.4")
+elif "pylint" in "{name}":
+    print("C:C0114\\nW:W0611\\nE:E0602\\n\\nYour code has been rated at -2.50/10")
+else:
+    text = open(sys.argv[-1]).read()
+    if "slow" in text:
+        time.sleep(60)
+    print('{{"messages": [{{"source": "pylint", "isFixable": true}}, {{"source": "pyflakes"}}, {{"source": "pylint"}}]}}')
+"""
+
+
+def test_programs_are_engines(spark, tmp_path, monkeypatch):
+    import os
+    import sys
+
+    from metrolith.kernels import programs as P
+
+    made = measure(from_strings(spark, {"a": "x = 1\n"}), ["lint"]).metrics().first()
+    assert made["pylint_score__lint"] is None  # the program isn't here
+    for name in ("pylint", "prospector"):
+        (tmp_path / name).write_text(FAKE.format(python=sys.executable, name=name))
+        (tmp_path / name).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{os.environ['PATH']}")
+    assert P.ENGINES["lint"].probe() == (str(tmp_path / "pylint"), "3.1.4")
+    assert P.ENGINES["lint"].kernel("x") == {"pylint_score": -2.5, "pylint_convention": 1, "pylint_refactor": 0, "pylint_warning": 1, "pylint_error": 1}
+    got = P.ENGINES["linters"].kernel("x")
+    assert (got["prospector_messages"], got["prospector_fixable"], got["prospector_tools_reporting"], got["prospector_pylint"], got["prospector_dodgy"]) == (3, 1, 2, 2, 0)
+    monkeypatch.setattr(P.ENGINES["linters"], "seconds", 0.5)
+    with pytest.raises(TimeoutError):
+        P.ENGINES["linters"].kernel("slow")
+
+
+def test_bounded_runs():
+    import sys
+    import time
+
+    from metrolith.kernels.programs import CUT, bounded
+
+    t = time.monotonic()
+    late = bounded([sys.executable, "-c", "import subprocess, time; subprocess.Popen(['sleep', '60']); time.sleep(60)"], seconds=1)
+    assert late.timed_out and not late.ok and time.monotonic() - t < 20
+    much = bounded([sys.executable, "-c", "print('x' * 30_000_000)"], kept=1000)
+    assert much.ok and much.cut and len(much.out) == 1000 + len(CUT)
+    assert not bounded([sys.executable, "-c", "bytearray(1 << 33)"], memory=1 << 30).ok
+    assert bounded(["/nowhere/at/all"]).code is None
+    assert bounded([sys.executable, "-c", "print(input())"], given="hé\n").out == "hé\n"
+
+
+def test_streamed_folder(spark, tmp_path):
+    from metrolith.streaming.fragments import stream_folder
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("def f():\n    return 1\n")
+    q = stream_folder(spark, str(tmp_path / "in"), ["ast"]).select("fragment_id", "functiondef_count__ast").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.functiondef_count__ast for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from metrolith.__main__ import main
+
+    (tmp_path / "a.py").write_text("def f():\n    return 1\n")
+    assert main(["analyse", str(tmp_path / "a.py"), str(tmp_path), "--engines", "ast", "--parquet", str(tmp_path / "out"), "--summary"]) == 0
+    assert {r.fragment_id for r in spark.read.parquet(str(tmp_path / "out" / "metrolith_metrics")).collect()} == {str(tmp_path / "a.py")}
+    import json
+
+    assert json.loads((tmp_path / "out" / "metrolith_provenance.json").read_text())["inputs"]["fragment_count"] >= 1
+    assert main(["analyse", str(tmp_path), "--engines", "nope"]) == 2 and "unknown" in capsys.readouterr().err
+    assert main(["catalogue", "--write", str(tmp_path / "c.md")]) == 0 and "| Column |" in (tmp_path / "c.md").read_text()
+    assert main(["doctor", "--json"]) == 0
