@@ -223,6 +223,16 @@ class MetricFrame:
     def _flags(self) -> list[str]:
         return [S.divergent_column(k) for k in S.comparable_keys(self.engines)]
 
+    def value(self, key: str, engine: str) -> DataFrame:
+        """(fragment_id, value): one reading of every fragment. An unknown one raises ValueError."""
+        column = S.column_name(key, engine)
+        if column not in S.metric_columns(self.engines):
+            raise ValueError(f"no metric {key} of {engine} here")
+        return self.metrics().select("fragment_id", F.col(column).alias("value"))
+
+    def head(self, rows: int = 50) -> DataFrame:
+        return self.metrics().orderBy("fragment_id").limit(rows)
+
     def overview(self) -> DataFrame:
         flags = sum((is_true(c).cast("int") for c in self._flags), F.lit(0))
         return self.metrics().select("fragment_id", "is_valid_python", "lloc__five_op", "cyclomatic_complexity_mean__five_op", flags.alias("divergent_metrics"))

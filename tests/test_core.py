@@ -251,3 +251,51 @@ def test_command_line(tmp_path, capsys, spark):
     assert main(["analyse", str(tmp_path), "--engines", "nope"]) == 2 and "unknown" in capsys.readouterr().err
     assert main(["catalogue", "--write", str(tmp_path / "c.md")]) == 0 and "| Column |" in (tmp_path / "c.md").read_text()
     assert main(["doctor", "--json"]) == 0
+
+
+def test_engines_of_the_user(spark, monkeypatch):
+    from metrolith.operators import measure as M
+
+    monkeypatch.setattr(M, "_USER", {})
+    M.register_engine("mine", [("size", "i")], lambda code: {"size": len(code), "undeclared": 1})
+    f = M.measure(from_strings(spark, {"a": "x = 1\n", "b": "("}), ["ast"])
+    assert {r.fragment_id: r.size__mine for r in f.metrics().collect()} == {"a": 6, "b": None}
+    assert {r.fragment_id: r.value for r in f.value("total_nodes", "ast").collect()} == {"a": 5, "b": None}
+    assert [r.fragment_id for r in f.head(1).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        f.value("nope", "ast")
+
+
+def test_exact_medians(spark):
+    import random
+    from statistics import median
+
+    random.seed(1)
+    rows = [(float(random.randint(0, 9)), random.random() if i % 3 else None, None) for i in range(301)]
+    got = {r.metric: r.median for r in T.medians(spark.createDataFrame(rows, "a double, b double, c double"), {"x": "a", "y": "b", "z": "c"}).collect()}
+    assert got == {"x": median(r[0] for r in rows), "y": median(r[1] for r in rows if r[1] is not None)}
+
+
+def test_embedding_by_a_model(spark):
+    import numpy as np
+
+    from metrolith.operators import embed as E
+
+    def load():
+        def encode(texts, most):
+            n = min(most, max(map(len, texts)))
+            states, mask = np.full((len(texts), n, 3), 99.0), np.zeros((len(texts), n))
+            for i, t in enumerate(texts):
+                k = min(len(t), n)
+                states[i, :k] = np.array([ord(c) for c in t[:k]])[:, None] * [1, 2, 3]
+                mask[i, :k] = 1
+            return states, mask
+
+        return encode
+
+    E.register_model("letters", 4, load)
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(["ab", "", None, "c" * 600] + ["z"] * 30)], "fragment_id string, code string")
+    got = {r.fragment_id: (r.dim_0, r.dim_1, r.dim_3) for r in E.embedding_frame(d, "letters").collect()}
+    assert len(got) == 34 and got["0"] == (97.5, 195.0, 0.0) and got["1"] == got["2"] == (32.0, 64.0, 0.0) and got["3"][0] == 99.0 and got["33"][0] == 122.0
+    with pytest.raises(ValueError):
+        E.embed(d, "nope")
