@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chroma, chunks, decontam, langid, packing, quality, rans, sharding, simhash, wrappers
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

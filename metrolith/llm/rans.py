@@ -18,13 +18,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, filesystem, work_folder
+from .common import cut, encoder, filesystem, small_batches, work_folder
 
 MAGIC = b"MRANS1"
 SCALE = 20  # frequencies of a table add up to 2 ** SCALE
@@ -181,33 +180,36 @@ class TokenFile:
                     out.append(decode_block(data, b["n"], b["marks"], self.table, max(0, first - b["first"]), stop - b["first"]))
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
-    def documents(self) -> Iterator[tuple[int | None, int, int]]:
-        """(doc_id, n_tokens, crc32 of the ids); blocks are read one after the other."""
-        held, crc, left, k = 0, 0, 0, 0
-        todo = iter(zip(self.docs, self.lengths, strict=True))
-        doc = next(todo, None)
-        while doc is not None and doc[1] == 0:
-            yield doc[0], 0, 0
-            doc = next(todo, None)
-        for b in self.blocks:
-            raw = self.span(b["first"], b["first"] + b["n"]).astype("<u4")
-            at = 0
-            while at < len(raw) and doc is not None:
-                take = min(doc[1] - held, len(raw) - at)
-                crc = zlib.crc32(raw[at : at + take].tobytes(), crc)
-                held, at = held + take, at + take
-                while doc is not None and held == doc[1]:
-                    yield doc[0], held, crc
-                    held, crc, doc = 0, 0, next(todo, None)
+    def documents(self, block: int | None = None) -> Iterator[tuple[int | None, int, int, int]]:
+        """(doc_id, first token, n_tokens, crc32 of the ids) of all documents, or of those that begin in one block: for a
+        block, decoding starts at the checkpoint before the first of them and ends with the last, maybe in later blocks."""
+        lengths = np.array(self.lengths, np.int64)
+        first = np.cumsum(lengths) - lengths
+        if block is None:
+            lo, hi = 0, len(lengths)
+        else:
+            at = self.blocks[block]["first"]
+            lo = 0 if block == 0 else int(np.searchsorted(first, at))
+            hi = len(lengths) if block == len(self.blocks) - 1 else int(np.searchsorted(first, at + self.blocks[block]["n"]))
+        step = 0
+        for a in range(lo, hi):  # some documents at a time, about a block of tokens
+            if a < step:
+                continue
+            step = max(a + 1, min(hi, int(np.searchsorted(first, first[a] + BLOCK))))
+            raw = self.span(int(first[a]), int(first[step - 1] + lengths[step - 1])).astype("<u4").tobytes()
+            for k in range(a, step):
+                x = 4 * int(first[k] - first[a])
+                yield self.docs[k], int(first[k]), int(lengths[k]), zlib.crc32(raw[x : x + 4 * int(lengths[k])])
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_text_mb: int = 32) -> DataFrame:
-    """Encodes every whole text into token files below `folder`; returns (path, file_no, sub, n_docs, n_tokens).
+    """Encodes every whole text into token files below `folder`; returns (path, file_no, sub, n_docs, n_tokens, n_blocks).
 
     Rows are put in ranges of (id, hash of the text), so that equal ids may span files; ids that are null come first.
     A null text counts as empty, repeated rows are kept, other columns are ignored. An empty table gives no file.
     A file is written under the attempt's own name and then renamed, so a task that is run again replaces it.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     parts = max(2, -(-size // (file_text_mb << 20)))
@@ -232,7 +234,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             with fs.open_output_stream(f"{path}.{attempt}") as f:
                 f.write(pack_file(names, ids))
             fs.move(f"{path}.{attempt}", path)
-            made = pa.RecordBatch.from_pylist([{"path": f"{folder}/{path.rsplit('/', 1)[1]}", "file_no": part, "sub": sub, "n_docs": len(names), "n_tokens": len(ids)}], schema=pa.schema([("path", pa.string()), ("file_no", pa.int64()), ("sub", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            made = pa.RecordBatch.from_pylist([{"path": f"{folder}/{path.rsplit('/', 1)[1]}", "file_no": part, "sub": sub, "n_docs": len(names), "n_tokens": len(ids), "n_blocks": -(-len(ids) // BLOCK)}], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("file_no", "sub", "n_docs", "n_tokens", "n_blocks"))]))
             held.clear()
             names.clear()
             sub, tokens = sub + 1, 0
@@ -249,34 +251,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         if names:
             yield close()
 
-    return rows.mapInArrow(write, "path string, file_no long, sub long, n_docs long, n_tokens long")
+    return rows.mapInArrow(write, "path string, file_no long, sub long, n_docs long, n_tokens long, n_blocks long")
 
 
-def read_token_files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from files given in order as (path, number of tokens before it).
-
-    One task a file: blocks stream through it, checked and decoded. The list has one short row a file.
-    """
-    given = spark.createDataFrame(pd.DataFrame(files, columns=["path", "before"]), "path string, before long") if files else spark.createDataFrame([], "path string, before long")
+def read_token_files(files: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from files (path, before, n_blocks), before being the number of tokens in the
+    files ahead. A row a block is dealt to the tasks, so the blocks of a file are decoded side by side."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file = None, None
         for batch in batches:
-            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(TokenFile(path).documents())
-                n = np.array([r[1] for r in rows], np.int64)
-                start = before + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(start), pa.array(n), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for path, before, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if path != last:
+                    last, file = path, TokenFile(path)
+                rows = list(file.documents(block))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([before + r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return given.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    blocks = files.select("path", "before", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_blocks").cast("int") - 1))).alias("block"))
+    many = files.agg(F.sum("n_blocks")).first()[0] or 0
+    tasks = max(1, min(int(many), 4 * files.sparkSession.sparkContext.defaultParallelism, 100_000))
+    return blocks.repartitionByRange(tasks, "path", "block").sortWithinPartitions("path", "block").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
-    """Writes the files (at once), then lists every document as the files give it back."""
-    spark = docs.sparkSession
-    folder = folder or work_folder(spark, "rans")
-    made = write_token_files(docs, folder, tokenizer, end_id).collect()
-    files, before = [], 0
-    for r in sorted(made, key=lambda r: (r.file_no, r.sub)):
-        files.append((r.path, before))
-        before += r.n_tokens
-    return read_token_files(spark, files)
+    """Writes the files (at once), then lists every document as the files give it back. The list of files, one short row
+    each, stays in the shared folder; the tokens ahead of a file are summed up in ranges of a thousand files, then over
+    these ranges."""
+    folder = folder or work_folder(docs.sparkSession, "rans")
+    made = cut(write_token_files(docs, folder, tokenizer, end_id).withColumn("range", F.floor(F.col("file_no") / 1000)))
+    order = Window.partitionBy("range").orderBy("file_no", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = made.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    ahead = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = made.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    return read_token_files(cut(within.join(ahead, "range").select("path", (F.col("ahead") + F.col("inside")).alias("before"), "n_blocks")))
