@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 BITS = 60
 ROUND = 8  # more bits each round
@@ -31,10 +31,28 @@ def shards(docs: DataFrame, limit: int, key: str = "doc_id", text_col: str = "te
     too. Only a bucket of a single row may stay over the limit. A null key hashes like the text "null". An empty table
     gives no row; columns of other names are ignored.
     """
+    return _sharded(docs, limit, key, text_col, F.octet_length(F.col(text_col).cast("string")), None)
+
+
+def write_shards(docs: DataFrame, folder: str, limit: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes whole rows below folder, a folder a shard, and the directory beside them; returns the directory: (shard,
+    depth, shard_bytes, shard_docs). Here a row's bytes are those of all its columns as text, so the limit holds for what
+    is written before it is compressed."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in docs.columns), F.lit(0))
+    whole, part = fresh("_row", docs.columns), fresh("shard", docs.columns)
+    got = cut(_sharded(docs, limit, key, text_col, size, whole))
+    got.select(F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias(part), f"{whole}.*").repartition(part).write.partitionBy(part).parquet(f"{folder}/rows")
+    directory = got.groupBy("shard").agg(F.first("depth").alias("depth"), F.first("shard_bytes").alias("shard_bytes"), F.first("shard_docs").alias("shard_docs"))
+    directory.write.parquet(f"{folder}/directory")
+    return docs.sparkSession.read.parquet(f"{folder}/directory")
+
+
+def _sharded(docs: DataFrame, limit: int, key: str, text_col: str, size: Column, whole: str | None) -> DataFrame:
     number = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
     rest = F.pmod(F.xxhash64(F.col(text_col).cast("string"), F.monotonically_increasing_id()), F.lit(1 << 30))
-    rows = docs.select(F.col(key).alias("doc_id"), (F.shiftleft(F.shiftright(number, 30), 30) + rest).alias("h"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(F.col(key).alias("doc_id"), (F.shiftleft(F.shiftright(number, 30), 30) + rest).alias("h"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), *([F.struct(*docs.columns).alias(whole)] if whole else []))
     rows = cut(rows)
+    kept = [whole] if whole else []
     total = rows.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     bits = min(20, max(0, math.ceil(math.log2(max(1, total / limit)))) + 3)
     sized, known = None, 0
@@ -60,7 +78,7 @@ def shards(docs: DataFrame, limit: int, key: str = "doc_id", text_col: str = "te
     sized = cut(sized)
     depths = [r["depth"] for r in sized.select("depth").distinct().collect()]  # 61 numbers at most
     if not depths:
-        return rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"), "n_bytes")
+        return rows.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_docs"), "n_bytes", *kept)
     # the directory: entries of one length, each naming the bucket it belongs to; longer buckets have own entries
     deepest = max(depths)
     near = min(deepest, max(min(depths), bits if known == 0 else 20))
@@ -68,12 +86,12 @@ def shards(docs: DataFrame, limit: int, key: str = "doc_id", text_col: str = "te
     got = rows.withColumn("entry", _prefix("h", near)).join(short, "entry", "left").drop("entry")
     if deepest > near:
         long = sized.where(F.col("depth") > near)
-        rest_rows = got.where("depth is null").select("doc_id", "h", "n_bytes")
+        rest_rows = got.where("depth is null").select("doc_id", "h", "n_bytes", *kept)
         tries = rest_rows.withColumn("try", F.explode(F.array(*[F.lit(d) for d in sorted(depths) if d > near])))
         deep = tries.join(long, (F.col("try") == F.col("depth")) & (F.expr(f"shiftright(h, {BITS} - try)") == F.col("p"))).drop("try")
         got = got.where("depth is not null").unionByName(deep)
     bits_text = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(conv(cast(p as string), 10, 2), depth, '0')"))
-    return got.select("doc_id", bits_text.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", "n_bytes")
+    return got.select("doc_id", bits_text.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", "n_bytes", *kept)
 
 
 def oracle(limit: int, table: str = "documents", deepest: int = 24) -> str:
