@@ -1,9 +1,11 @@
 import itertools
+import re
 import time
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,6 +37,23 @@ def test_rans_round_trip_and_random_access():
         assert (rans.decode_block(data, len(ids), marks, table, len(ids) // 2, len(ids) // 2 + 9) == ids[len(ids) // 2 : len(ids) // 2 + 9]).all()
 
 
+def test_blocks_are_read_side_by_side(tmp_path, monkeypatch):
+    """Documents by block, from checkpoints, are those of the whole file; documents may span blocks."""
+    monkeypatch.setattr(rans, "BLOCK", 5000)
+    monkeypatch.setattr(rans, "EVERY", 2)
+    rng = np.random.default_rng(5)
+    lengths = [1, 4999, 1, 12000, 3, 4996, *rng.integers(1, 3000, 20).tolist()]
+    ids = rng.integers(0, 40000, sum(lengths)).astype(np.uint32)
+    (tmp_path / "x.rans").write_bytes(rans.pack_file(list(enumerate(lengths)), ids))
+    f = rans.TokenFile(str(tmp_path / "x.rans"))
+    at, want = 0, []
+    for i, n in enumerate(lengths):
+        want.append((i, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes())))
+        at += n
+    assert list(f.documents()) == want and len(f.blocks) > 5
+    assert [r for b in range(len(f.blocks)) for r in f.documents(b)] == want
+
+
 def test_token_files(spark, tmp_path):
     d = docs(spark, [*ODD, "same", "same"])
     got = rans.encode_and_read_back(d, WORD, folder=f"file://{tmp_path}").orderBy("doc_id").collect()
@@ -84,6 +103,21 @@ def test_simhash_against_brute_force(spark):
     assert near.keep_first(docs(spark, ["a b c d", "a b c d", None])).columns == docs(spark, [""]).columns
 
 
+def plain_fingerprint(text):
+    """By the contract, bit by bit."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_bit_by_bit(spark):
+    for t in [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [None, "", "a", "A b", "x\u00a0y z w", "a\x0bb\x0cc d", "É é É é", "q " * 70000]:
+        assert simhash.fingerprint(t) == plain_fingerprint(t)
+
+
 def test_simhash_links_random_neighbours(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 60)]
@@ -147,6 +181,17 @@ def test_sharding(spark):
     assert sharding.shards(d.limit(0), 10).count() == 0 and sharding.shards(d, 10**9).select("shard").distinct().count() == 1
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(i % 5, "x" * (i * 7 % 300), "é" * (i % 9), None) for i in range(400)] + [(None, None, None, 1), (3, "y" * 9000, "", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard string, _row int")
+    directory = {r.shard: r for r in sharding.write_shards(d, str(tmp_path / "s"), 4000).collect()}
+    sizes = {}
+    for r in spark.read.parquet(str(tmp_path / "s" / "rows")).collect():
+        sizes.setdefault(r._shard, []).append(sum(len(str(x).encode()) for x in (r.doc_id, r.text, r.shard, r._row) if x is not None))
+    assert sum(map(len, sizes.values())) == len(rows) == sum(r.shard_docs for r in directory.values())
+    assert all(sum(v) <= 4000 or len(v) == 1 for v in sizes.values()) and sorted(map(sum, sizes.values())) == sorted(r.shard_bytes for r in directory.values())
+
+
 def test_chunks_resist_shifts_and_find_passages(spark):
     rng = np.random.default_rng(0)
     text = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
@@ -401,6 +446,71 @@ def test_quality(spark):
     assert [r.score for r in odd] == [0.5] * 3
 
 
+def test_quality_against_dense_densities():
+    """Scores from cached Cholesky factors are those of the densities written out."""
+    rng = np.random.default_rng(3)
+    d = len(quality.NAMES)
+    x = {k: rng.normal(k * 0.5, 1 + k, (300, d)) @ rng.normal(0, 1, (d, d)) for k in (0, 1)}
+    model = quality.discriminant({k: (len(v), v.sum(axis=0), v.T @ v) for k, v in x.items()})
+    every = np.concatenate([x[0], x[1]])
+    centre, scale = every.mean(axis=0), every.std(axis=0)
+    z = {k: (v - centre) / scale for k, v in x.items()}
+    spread = {k: np.cov(v.T, bias=True) for k, v in z.items()}
+    pooled = (spread[0] + spread[1]) / 2
+    density = []
+    for k in (0, 1):
+        own = 0.9 * spread[k] + 0.1 * pooled
+        own = 0.95 * own + 0.05 * np.eye(d) * np.trace(own) / d
+        diff = (every - centre) / scale - z[k].mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(own), diff) - 0.5 * np.linalg.slogdet(own)[1] + np.log(301 / 602))
+    want = density[1] - density[0]
+    assert np.allclose(model.score(every), 0.5 + 0.5 * want / (4 + np.abs(want)), atol=1e-6)
+
+
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (1, 1), (None, 1), (3, None), (3, 7), (99, 1)], "doc_id long, quality int")
+    d = spark.createDataFrame([(0, "a b c", 1), (0, "a b c", 1), (1, None, 2), (None, "x" * 300_000, 3), (3, "", 4)], "doc_id long, text string, quality int")
+    got = quality.classify(d, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out is not None for r in got)
+    one = quality.classify(d, labels.where("quality = 1"))  # one class only
+    assert one.count() == 5 and quality.classify(d.limit(0), labels).count() == 0 and quality.classify(d, labels.limit(0)).where("score != 0.5").count() == 0
+
+
+def slow_mixture(like, n):
+    """Proportions of one document by plain expectation-maximisation."""
+    share = np.full(like.shape[1], 1 / like.shape[1])
+    for _ in range(2000):
+        mix = like * share
+        share = (n[:, None] * mix / mix.sum(axis=1, keepdims=True)).sum(axis=0) / n.sum()
+    return share
+
+
+def test_language_mixtures_against_brute_force():
+    rng = np.random.default_rng(2)
+    langs = ["aa", "bb", "cc"]
+    words = [["".join(chr(97 + int(rng.integers(9 * k // 2, 9 * k // 2 + 12))) for _ in range(6)) for _ in range(80)] for k in range(3)]
+    counts = np.stack([np.bincount(langid.places(w * 5).ravel(), minlength=langid.OFFSETS[4]) for w in words]).astype(np.float32)
+    model = langid.Model(langs, counts)
+    texts = [" ".join(words[0]), " ".join(words[0][:60] + words[1][:40]), " ".join(words[0][:30] + words[1][:30] + words[2][:30]), None, "½ 12 ⅷ", words[2][0]]
+    got = model.mixtures(texts)
+    for t, g in zip(texts, got, strict=True):
+        if g:
+            w = langid.words_of(t)
+            like = model._likelihoods(w).astype(float)
+            everyone = {c: slow_mixture(like[:, list(c)], np.ones(len(w))) for r in (1, 2, 3) for c in itertools.combinations(range(3), r)}
+            score = {c: np.log((like[:, list(c)] * s).sum(axis=1)).sum() - 0.5 * np.log(len(w) + 1) * len(c) for c, s in everyone.items()}
+            best = max(score, key=score.get)
+            assert set(g) == {langs[k] for k in best} and all(abs(g[langs[k]] - s) < 0.01 for k, s in zip(best, everyone[best], strict=True))
+    assert got[3] == got[4] == {} and langid.words_of("x²½y हिन्दी") == ["x", "y", "हिन्दी"]
+
+
+def test_language_of_odd_tables(spark):
+    d = spark.createDataFrame([(1, "alpha beta", None, 1), (None, "gamma", "xx", 2), (3, None, "xx", 3), (3, "12", None, 4)], "doc_id long, text string, lang string, _sure int")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(d).collect()} == {1: "und", None: "und", 3: "und"}  # a null id teaches nothing
+    kept = langid.keep_identified(d)  # nothing is learnt, so only letters count
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"] and langid.keep_identified(d.limit(0)).count() == 0
+
+
 def slow_alignment(a, b):
     """Smith-Waterman, cell by cell: the best score."""
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -478,18 +588,82 @@ def test_every_stretch_of_an_item_keeps_a_seed():
         assert used.any() and all(used[i : i + decontam.STRETCH].any() for i in range(max(1, n - decontam.STRETCH + 1)))
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, SF).toPandas()
-    assert len(corpus_pipeline.STAGES) == 5 and out.groupby("sequence_id").length.sum().max() <= 2048
+def brute_groups(texts):
+    """Ids whose text is not the first of its group: five-word shingles, Jaccard 0.8 or more, all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {i for i in sets if find(i) != i}
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages against brute force, with nulls, repeated rows and ids, and a clashing column."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    groups = brute_components({r.doc_id: simhash.fingerprint(r.text) for r in d.collect()})
-    texts = {r.doc_id: r.text for r in d.collect()}
-    first = {i for i, g in groups.items() if i == g}
-    assert set(out.doc_id) <= first
-    model = langid.fit(d)
-    lost = first - set(out.doc_id)
-    for i in lost:  # only what a stage had reason to drop
-        assert bench.find(texts[i], 0.5) or max(model.proportions(texts[i]).values(), default=0) < 0.5 or any(r.doc_id == i for r in chunks.repeated_spans(d).collect())
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    some = d.first()
+    more = [(None, "alpha beta " * 40, some.lang), (some.doc_id, some.text, some.lang), (9001, None, "en"), (9002, "", "en"), (9003, "123 !", "en"), (9004, bench.first().text, "en"), (9005, some.text + " tail", some.lang), (None, bench.first().text, None)]
+    odd = spark.createDataFrame(more, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    given = d.select("doc_id", "text", "lang", "source", d.n_chars.cast("long").alias("n_chars")).union(odd).selectExpr("*", "1 as _twin", "'x' as h")
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+
+    rows = [(r.doc_id, r.text) for r in given.collect()]
+    model = langid.fit(given.where(langid.remainder("doc_id", 4) != 2))
+    rows = [r for r in rows if max(model.proportions(r[1]).values(), default=0) >= 0.5]
+    later = brute_groups({i: t for i, t in rows if i is not None})
+    rows = [r for r in rows if r[0] not in later]
+    order = sorted({r for r in rows if r[0] is not None})
+    holes = {}
+    for k, a, b in brute_spans([t for _, t in order]):
+        holes.setdefault(order[k], []).append((a, b))
+    left = []
+    for r in rows:
+        raw = (r[1] or "").encode()
+        for a, b in reversed(holes.get(r, [])):
+            raw = raw[:a] + raw[b:]
+        if r not in holes or raw.strip():
+            left.append((r[0], raw.decode()))
+    items = [decontam.hashes(r.text) for r in bench.collect()]
+    width = max(map(len, items))
+    full = np.zeros((len(items), width), np.uint64)
+    for k, x in enumerate(items):
+        full[k, : len(x)] = x
+    sizes = np.array([len(x) for x in items])
+    clean = []
+    for i, t in left:
+        w = decontam.hashes(t)
+        if not len(w) or (decontam.smith_waterman(full, np.tile(w, (len(items), 1)), sizes)[0] / (2 * sizes)).max() < 0.5:
+            clean.append((i, t))
+    tok = Tokenizer.from_file(BYTE)
+    want = []
+    for i, t in clean:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        cut_at = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(str(i), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cut_at))]
+    got = [("None" if np.isnan(r.doc_id) else str(int(r.doc_id)), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples()]
+    assert len(corpus_pipeline.STAGES) == 5 and len(rows) < given.count() and len(clean) < len(rows) and sorted(got) == sorted(want)
+    for _, x in out.sort_values("offset").groupby("sequence_id"):
+        assert x.offset.tolist() == (x.length.cumsum() - x.length).tolist() and x.length.sum() <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def brute_spans(texts):
