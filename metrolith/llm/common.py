@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import shutil
@@ -10,10 +11,9 @@ import tempfile
 import threading
 import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,13 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, rows)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that nothing refers to any more, once a step is cut: Spark removes them
+    when the driver collects its garbage, which may be long after a job has filled the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[len("file:") :]
@@ -134,16 +141,16 @@ class Encoder:
     between two other characters: so the ids of what lies between them don't depend on its neighbours. The library's
     merge model encodes each distinct word; a bounded table answers for repeated ones. A text with characters outside
     a plain Latin range, or of an unknown vocabulary, goes to the library as a whole; so does one with a string of an
-    added token, whatever its case. The tables hold `keep` words twice and an eighth of that of pieces, each of less
-    than 40 characters: about 50 MB at most.
+    added token, in whatever case where the vocabulary has no cases. The tables hold `keep` words twice and an eighth of
+    that of pieces, each of less than 40 characters: about 170 MB at most.
     """
 
-    def __init__(self, path: str, keep: int = 100_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = tuple({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
         self.split, self.lower = _ROADS.get(os.path.basename(path), (None, False))
+        self.added = tuple({t.content.lower() if self.lower else t.content for t in self.library.get_added_tokens_decoder().values()})
         self.model = self.library.model
         if hasattr(self.model, "_resize_cache"):  # the table below does better than the library's own cache of words
             self.model._resize_cache(0)
@@ -175,11 +182,12 @@ class Encoder:
             return b""
         if self.split is None or _UNUSUAL.search(text):
             return self.whole(text)
-        low = text.lower()
-        if any(x in low for x in self.added):
-            return self.whole(text)
+        given = text.lower() if self.lower else text
+        for x in self.added:
+            if x in given:
+                return self.whole(text)
         if self.lower:
-            return b"".join(map(self.words.__getitem__, low.split()))
+            return b"".join(map(self.words.__getitem__, given.split()))
         if _RAGGED.search(text):
             return b"".join(map(self.marks.__getitem__, self.split.findall(text)))
         head, *rest = text.replace("\n", " \n").split(" ")

@@ -1,10 +1,16 @@
-"""Near duplicates by the Jaccard similarity of their word shingles: every pair at or above the threshold.
-
-At Jaccard 0.8 about ten of 64 bits of two SimHash fingerprints differ, too many for any fuzzy key to find all pairs;
-so candidates come from shared prefixes instead. Each set is put in one global order, frequent shingles last. Of two
-sets similar by t, the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and the first n - ceil(t n) + 1 of the
-larger always have one in common: the join on these misses no pair. Candidates that sizes and positions don't rule out
-are then compared by their whole sets.
+"""Near duplicates by the Jaccard similarity of their word shingles: groups that links at or above the threshold join.
+
+Operator 4 with a verification by similarity in place of bits. Candidates come from two sources. SimHash fingerprints
+of the shingles with at most two differing bits share Golay keys; but at Jaccard 0.8 about ten of 64 bits differ, too
+many for any fuzzy key to find all pairs, so shared prefixes find the rest: each set is put in one global order,
+frequent shingles last. Of two sets similar by t, the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and the
+first n - ceil(t n) + 1 of the larger always have one in common.
+
+A group of many near copies would give pairs in the square of its size. So, first, each set is compared only with the
+least one in each of its buckets, and the links found are joined to components; then only pairs of sets that are still in
+different components are compared: in a bucket, those outside its largest component with all others. Pairs inside a
+component can't change the result. Before whole sets are moved, pairs go whose fingerprints differ in more bits than
+six standard deviations over what the threshold makes likely (26 of 64 at 0.8: about one pair in a million is lost).
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh
+from .common import components, cut, fresh, release, remove, small_batches, work_folder
+from .simhash import links, majority
 
 MIX = 0x9E3779B97F4A7C15
 SAMPLE, HOT = 4_000, 50_000  # documents that frequencies are taken from, and shingles that count as frequent, at most
@@ -47,18 +54,25 @@ def _class(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _packed(own: np.ndarray) -> bytes:
-    """48 bits of each hash: of two sets of 1,000 shingles, unequal ones meet once in 280 million pairs."""
-    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
+def packed(own: np.ndarray) -> bytes:
+    """32 bits of each hash, ascending, as differences in groups of seven bits: about four bytes each. Two sets of 1,000
+    unequal shingles have one in common by chance in 4,300 pairs, which counts only for a pair exactly at the threshold."""
+    d = np.diff(np.sort((own >> np.uint64(32)).astype(np.int64)), prepend=0)
+    parts = np.stack([(d >> 7 * k) & 127 for k in range(5)], axis=1)
+    used = np.maximum(1, (parts > 0)[:, ::-1].argmax(axis=1) * -1 + 5) * (d > 0) + (d == 0)
+    keep = np.arange(5) < used[:, None]
+    more = np.arange(5) < (used - 1)[:, None]
+    return (parts | more * 128).astype(np.uint8)[keep].tobytes()
 
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").ravel()
 
-
-def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(MIX)) >> np.uint64(64 - bits)).astype(np.int64)
+def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64)
+    last = raw < 128
+    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts).cumsum()
 
 
 def _frequent(given: DataFrame, words: int) -> np.ndarray:
@@ -75,71 +89,136 @@ def _frequent(given: DataFrame, words: int) -> np.ndarray:
     return np.array([r["s"] for r in top.collect()][::-1], np.int64).view(np.uint64)
 
 
-def similar(given: DataFrame, least: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """Of (d, t), d not null: (d, class) for each row, rows of equal sets being one class, and all pairs (a, b) of
-    classes that are similar by `least`."""
+def _prepared(given: DataFrame, least: float, words: int) -> DataFrame:
+    """(d, class, n, fp, first, set): rows of equal sets have the same class; first: the longest prefix that is due."""
     frequent = given.sparkSession.sparkContext.broadcast(_frequent(given, words))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.value
         order = np.argsort(hot)
         known = hot[order]
-        for batch in batches:
-            classes, sizes, firsts = [], [], []
-            for t in batch.column(1):
-                own = shingles(t.as_py(), words)
-                classes.append(_class(own))
-                sizes.append(len(own))
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.argsort(np.where(known[at] == own, order[at], -1), kind="stable")]
-                firsts.append(own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["d", "class", "n", "first"])
-
-    own = cut(given.mapInArrow(prefixes, "d long, class long, n int, first array<long>"))
-    posts = own.where("n > 0").dropDuplicates(["class"]).select("class", "n", F.posexplode("first").alias("i", "s"))
-    larger = posts.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    smaller = posts.where(f"i <= n - ceil({2 * least / (1 + least)!r}D * n - 1e-9D)").select("s", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    fits = f"(na < nb or na = nb and a < b) and na >= {least!r}D * nb - 1e-9D and least(ia, ib) + 1 + least(na - ia, nb - ib) - 1 >= {least / (1 + least)!r}D * (na + nb) - 1e-9D"
-    pairs = cut(smaller.join(larger, "s").where(fits).select("a", "b").distinct())
-
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    ids = own.join(asked, "class").groupBy("class").agg(F.min("d").alias("d")).select("d").toArrow()["d"].to_numpy()
-    bits = max(10, (16 * len(ids)).bit_length())  # a table of hashed ids, 2 to 4 bytes each, in place of a join that moves all texts
-    table = np.zeros(1 << bits, bool)
-    table[_slots(ids, bits)] = True
-    marked = given.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _slots(batch.column(0).to_numpy(), bits)
-            kept = batch.filter(pa.array((marked.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-            sets = [shingles(t.as_py(), words) for t in kept.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([_packed(x) for x in sets], pa.binary())], names=["class", "set"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows: list[list] = [[], [], [], [], []]
+                for t in batch.column(1):
+                    own = shingles(t.as_py(), words)
+                    first = own
+                    if len(known) and len(own):
+                        i = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        first = own[np.argsort(np.where(known[i] == own, order[i], -1), kind="stable")]
+                    first = first[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+                    for column, x in zip(rows, (_class(own), len(own), majority(own), first.view(np.int64), packed(own)), strict=True):
+                        column.append(x)
+                fp = np.array(rows[2], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(fp), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())], names=["d", "class", "n", "fp", "first", "set"])
+
+    return given.mapInArrow(run, "d long, class long, n int, fp long, first array<long>, set binary")
+
+
+def _fits(x: str, y: str, least: float) -> str:
+    """Whether prefixes, sizes and positions allow the sets x and y of a bucket to be similar, x being the smaller."""
+    return (
+        f"(n{x} < n{y} or n{x} = n{y} and {x} < {y}) and i{x} <= n{x} - ceil({2 * least / (1 + least)!r}D * n{x} - 1e-9D)"
+        f" and n{x} >= {least!r}D * n{y} - 1e-9D and least(i{x}, i{y}) + least(n{x} - i{x}, n{y} - i{y}) >= {least / (1 + least)!r}D * (n{x} + n{y}) - 1e-9D"
+    )
+
+
+def most_bits(least: float) -> int:
+    """How many of 64 bits the fingerprints of sets as similar as `least` may differ in, but for a chance of one in a million."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return min(64, math.floor(64 * p + 6 * math.sqrt(64 * p * (1 - p))))
+
+
+def _likely(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of classes that their fingerprints don't rule out. prints: (class, fp)."""
+    both = pairs.join(prints.select(F.col("class").alias("a"), F.col("fp").alias("x")), "a").join(prints.select(F.col("class").alias("b"), F.col("fp").alias("y")), "b")
+    return both.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits(least)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are similar by `least`."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [similarity(_unpacked(x.as_buffer()), _unpacked(y.as_buffer())) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = [similarity(unpacked(x.as_buffer()), unpacked(y.as_buffer())) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    sets = cut(given.mapInArrow(whole, "class long, set binary").join(asked, "class", "left_semi"))
-    if sets.count() > asked.count():  # repeated ids
-        sets = cut(sets.dropDuplicates(["class"]))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return own.select("d", "class"), both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+
+
+def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """Of (d, t), d not null: (d, class, group) for each row. Rows of equal sets are one class; group is the least class
+    that links of similarity `least` or more reach. Rows without words are one class of their own."""
+    spark = given.sparkSession
+    small_batches(spark)
+    folder = work_folder(spark, "near")
+    _prepared(given, least, words).write.parquet(folder)
+    own = spark.read.parquet(folder)
+    kept = work_folder(spark, "classes")
+    own.select("d", "class").write.parquet(kept)
+    member = spark.read.parquet(kept)
+    prints = cut(own.where("n > 0").groupBy("class").agg(F.first("fp").alias("fp"), F.min("d").alias("d")))  # d: a row that stands for it
+
+    posts = own.where("n > 0").select("class", "n", F.posexplode("first").alias("i", "s"))
+    shared = posts.groupBy("s").agg(F.min("class").alias("rep"), F.max("class").alias("other")).where("rep < other").select("s")
+    hot = cut(posts.join(shared, "s").groupBy("s", "class").agg(F.first("n").alias("n"), F.first("i").alias("i")))  # copies count once
+    del posts, shared
+    release(spark)
+
+    # each set with the least one of its buckets, and fingerprints that share a Golay key
+    reps = hot.groupBy("s").agg(F.min(F.struct("class", "n", "i")).alias("r")).select("s", F.col("r.class").alias("a"), F.col("r.n").alias("na"), F.col("r.i").alias("ia"))
+    stars = hot.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(reps, "s").where("a != b").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    same = cut(prints.groupBy("fp").agg(F.min("class").alias("class"), F.max("class").alias("last")))
+    near = links(same).join(same.select(F.col("fp").alias("a"), F.col("class").alias("ca")), "a").join(same.select(F.col("fp").alias("b"), F.col("class").alias("cb")), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    twins = same.where("class != last").select(F.col("class").alias("a"), F.col("last").alias("b"))  # unequal sets of one fingerprint
+    pairs = cut(_likely(stars, prints, least).union(near).union(twins).distinct())
+    del reps, stars, same, near, twins
+    release(spark)
+
+    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(hot.select("class")).distinct()
+    sets = cut(own.select("class", "d", "set").join(prints.select("class", "d").join(asked, "class", "left_semi"), ["class", "d"]).select("class", "set").dropDuplicates(["class"]))
+    del own, asked
+    remove(spark, folder)
+    release(spark)
+    edges = cut(_verified(pairs, sets, least))
+    release(spark)
+    group = components(edges).withColumnRenamed("id", "class") if not edges.isEmpty() else None
+
+    # what is still apart: in each bucket, all outside its largest component with all of other components
+    placed = hot.join(group, "class", "left") if group is not None else hot.withColumn("component", F.lit(None).cast("long"))
+    placed = cut(placed.withColumn("component", F.coalesce("component", "class")))
+    counted = placed.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
+    major = counted.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("s", "major")
+    apart = placed.join(major, "s")
+    x = apart.where("component != major").select("s", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("pa"))
+    y = apart.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("pb"), "major")
+    rest = x.join(y, "s").where("pa != pb and (pb = major or a < b)").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = cut(_likely(rest, prints, least).join(pairs, ["a", "b"], "left_anti"))
+    del hot, placed, counted, major, apart, x, y
+    release(spark)
+    more = cut(_verified(rest, sets, least))
+    del sets, rest
+    release(spark)
+    if not more.isEmpty():
+        group = components(edges.union(more)).withColumnRenamed("id", "class")
+    if group is None:
+        return member.withColumn("group", F.col("class"))
+    return member.join(group, "class", "left").select("d", "class", F.coalesce("component", "class").alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
     """docs with one row of each group that links of similarity `least` or more join: that of its smallest id.
 
-    Of repeated such ids all rows stay; so do rows of a null id, which link nothing. Texts without words are one group.
+    Of repeated such ids all rows stay; so do rows of a null id, which link nothing. Texts without words, null ones too,
+    are one group. Words are parted by white space; a text of fewer than `words` is one shingle; long texts are read
+    whole. An empty table stays empty; other columns are kept as they are, whatever their names.
     """
     given = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null")
-    own, pairs = similar(given, least, words)
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        own = own.join(components(pairs).withColumnRenamed("id", "class"), "class", "left").select("d", F.coalesce("component", "class").alias("class"))
+    own = cut(similar_groups(given, least, words))
     twin = fresh("_twin", docs.columns)
-    firsts = own.groupBy("class").agg(F.min("d").alias("first"))
-    later = own.join(cut(firsts), "class").where("d != first").select(F.col("d").alias(twin)).distinct()
+    firsts = own.groupBy("group").agg(F.min("d").alias("first"))
+    later = cut(own.join(firsts, "group").where("d != first").select(F.col("d").alias(twin)).distinct())
     return docs.join(later, docs[id_col].cast("long") == later[twin], "left_anti")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh
+from .common import components, cut, small_batches
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -80,6 +80,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes."""
+    if not len(h):
+        return 0
+    total = sum(np.unpackbits(h[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(h), 1 << 16))
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id long, fp long): the 64 bits of `fingerprint`, as a signed integer. A null text has no words."""
 
@@ -88,6 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -130,10 +139,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
         named = labelled.join(least, "component").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each group: that of its smallest id (of repeated such ids, and of null ids, all rows)."""
-    twin = fresh("_component", docs.columns)
-    groups = near_duplicates(docs, id_col, text_col, words, max_bits).where("doc_id != component_id").select(F.col("doc_id").alias(twin)).distinct()
-    return docs.join(groups, docs[id_col].cast("long") == groups[twin], "left_anti")
