@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .langid import remainder
 
 NAMES = ("words", "word_length", "upper", "digit", "mark", "stop", "bang", "bar", "line", "distinct", "repeated_lines", "top_word", "short_lines", "end_marks", "plain_words")
@@ -111,6 +111,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, x array<double>")
 
 
