@@ -2,18 +2,19 @@
 
 The spectrum of overlapping frames is summed into the twelve pitch classes. Over the image of classes by frames, sixteen
 rectangular filters compare areas by means of its integral image; each gives two bits in Gray code, so a frame with its
-followers makes one 32-bit integer. Recordings that share integers are aligned: a histogram of offsets finds the best
-shift, and the bit errors over the common stretch say how close they are.
+followers makes one 32-bit integer. Recordings are aligned by integers that agree but for one of their four bytes, for
+a frame and the next one: a histogram of offsets collects such votes, and at each offset the bit errors over the
+best stretch say how close the recordings are.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 RATE, FRAME, HOP = 8000, 1024, 341
 WIDTH = 16  # frames under a filter at most
@@ -22,11 +23,11 @@ FILTERS = tuple((k % 4, (k * 5) % 9, 3 + k % 2, (4, 8, 12, 16)[k // 4], 0.0) for
 
 
 def _classes() -> np.ndarray:
-    """Sums bins of the spectrum into pitch classes; from 28 to 3520 Hz."""
+    """Sums bins of the spectrum into pitch classes, from 130 Hz, where bins are as narrow as semitones, to 3520 Hz."""
     hz = np.fft.rfftfreq(FRAME, 1 / RATE)
     out = np.zeros((len(hz), 12))
     for i, f in enumerate(hz):
-        if 28 <= f <= 3520:
+        if 130 <= f <= 3520:
             out[i, int(round(12 * np.log2(f / 440.0))) % 12] = 1
     return out
 
@@ -34,12 +35,13 @@ def _classes() -> np.ndarray:
 _CLASSES, _WINDOW = _classes(), np.hamming(FRAME)
 
 
-def chroma(samples: np.ndarray) -> np.ndarray:
-    """Frames by twelve classes, each frame of length one (zero where it is nearly silent)."""
+def chroma(samples: np.ndarray, together: int = 2048) -> np.ndarray:
+    """Frames by twelve classes, each frame of length one (zero where it is nearly silent); spectra of `together` frames
+    are held at a time, so a long recording costs its samples and 96 bytes a frame."""
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float64), FRAME)[::HOP]
-    image = (np.abs(np.fft.rfft(frames * _WINDOW, axis=1)) ** 2) @ _CLASSES
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
+    image = np.concatenate([(np.abs(np.fft.rfft(frames[a : a + together] * _WINDOW, axis=1)) ** 2) @ _CLASSES for a in range(0, len(frames), together)])
     norm = np.linalg.norm(image, axis=1, keepdims=True)
     return np.where(norm > 1e-2, image / np.maximum(norm, 1e-12), 0.0)
 
@@ -73,6 +75,11 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The code of frames without sound: it says nothing of where in a recording it is, and casts no vote.
+SILENCE = int(fingerprint(np.zeros(FRAME + HOP * WIDTH))[0])
+OVERLAP, MOST_ERROR, VOTES = 48, 0.12, 1
+
+
 def fingerprints(recordings: DataFrame, id_col: str, pcm_col: str) -> DataFrame:
     """(id, codes): codes of 16-bit little-endian mono samples at 8 kHz in a binary column. Null audio has no codes."""
 
@@ -81,65 +88,98 @@ def fingerprints(recordings: DataFrame, id_col: str, pcm_col: str) -> DataFrame:
             codes = [fingerprint(np.frombuffer((p.as_py() or b"")[: len(p.as_py() or b"") // 2 * 2], "<i2") / 32768.0).astype(np.int64) for p in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
+    small_batches(recordings.sparkSession, 100)
     return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).cast("binary").alias("p")).mapInArrow(run, "id long, codes array<long>")
 
 
-def _classes_of(prints: DataFrame) -> DataFrame:
-    own = prints.where("id is not null and size(codes) > 2").groupBy("id").agg(F.first("codes").alias("codes"))
-    return cut(own.withColumn("class", F.xxhash64("codes")))
+def least_error(a: np.ndarray, b: np.ndarray, offset: int, stretch: int = OVERLAP) -> tuple[int, float]:
+    """Codes of a over b shifted by offset: how many overlap, and the least share of differing bits over `stretch`
+    codes in a row of them, or over the whole of a shorter recording; 1.0 where less than that overlaps."""
+    x, y = a[max(0, offset) : len(b) + offset], b[max(0, -offset) : max(0, len(a) - offset)]
+    n = min(len(x), len(y))
+    size = min(stretch, len(a), len(b))
+    if n < size or not size:
+        return n, 1.0
+    total = np.concatenate([[0], np.bitwise_count(x[:n] ^ y[:n]).cumsum(dtype=np.int64)])
+    return n, float((total[size:] - total[:-size]).min() / (32 * size))
+
+
+def _with_class(prints: DataFrame) -> DataFrame:
+    """Adds class: recordings of equal codes have the same, and so have all that are silent throughout; null where
+    there are no codes or no id."""
+    silent = F.forall("codes", lambda x: x == SILENCE)
+    own = F.when(F.col("id").isNotNull() & (F.size("codes") > 0), F.xxhash64(F.when(silent, F.array(F.lit(SILENCE).cast("long"))).otherwise(F.col("codes"))))
+    return prints.withColumn("class", own)
 
 
 def _class_pairs(own: DataFrame, query: str, least_votes: int, most_error: float) -> DataFrame:
     """(qc, class, offset, votes, overlap, bit_error): the best offset of each pair of classes, qc holding a query."""
-    classes = own.groupBy("class").agg(F.first("codes").alias("codes"), F.max(F.expr(query)).alias("asked"))
-    posts = classes.select("class", "asked", F.posexplode(F.expr("transform(sequence(1, size(codes) - 2), i -> shiftleft(codes[i - 1], 32) | codes[i + 1])")).alias("at", "pair"))
-    # a code with one of its four bytes left out, for each byte: a position with all its bit errors in one byte meets
-    keys = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.shiftrightunsigned("pair", 32).bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * m))).alias("key")) for m in range(4)]))
-    posts = posts.withColumn("k", keys).select("class", "asked", "at", "pair", F.col("k.m").alias("m"), F.col("k.key").alias("key"))
-    a = posts.where("asked").select("m", "key", F.col("class").alias("qc"), F.col("at").alias("qa"), F.col("pair").alias("qp"))
-    b = posts.select("m", "key", "class", "at", "pair")
-    once = (F.col("m") == 0) | (F.shiftrightunsigned("qp", 32) != F.shiftrightunsigned("pair", 32))  # equal codes meet under all four
-    counted = a.join(b, ["m", "key"]).where(once).groupBy("qc", "class", (F.col("qa") - F.col("at")).alias("offset"))
-    votes = counted.agg(F.count(F.lit(1)).alias("votes"), F.count_if(F.col("qp") == F.col("pair")).alias("equal")).where(F.col("votes") >= least_votes)
-    text = "aggregate(sequence(greatest(0, offset), least(size(q), size(c) + offset) - 1), 0L, (s, i) -> s + bit_count(q[i] ^ c[i - offset]))"
-    scored = (
-        votes.join(classes.select(F.col("class").alias("qc"), F.col("codes").alias("q")), "qc")
-        .join(classes.select("class", F.col("codes").alias("c")), "class")
-        .withColumn("overlap", F.expr("least(size(q), size(c) + offset) - greatest(0, offset)"))
-        .where("overlap > 0")
-        .withColumn("bit_error", F.expr(f"{text} / (32.0D * overlap)"))
-        .where((F.col("equal") >= least_votes) | (F.col("bit_error") <= most_error))
-    )
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qc", "class").orderBy(F.desc("votes"), "bit_error", "offset"))).where("r = 1")
-    return best.select("qc", "class", F.col("offset").cast("int").alias("offset"), "votes", "overlap", "bit_error")
-
-
-def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3, most_error: float = 0.2) -> DataFrame:
-    """(query_id, id, offset, votes, overlap, bit_error): each query with every other recording that it shares at least
-    least_votes positions with at one offset; the offset with most votes (ties: fewest bit errors, then the smallest).
-
-    Recordings of equal codes are one class: votes and errors are found once for each class and then joined to its
-    members. A position votes if two codes are equal but for bits of one byte, and all positions do, repeated ones too.
-    A pair counts if least_votes of them are equal in full, the code two frames on included, or if its bit_error, the
-    share of differing bits over the overlap, is at most most_error. Null ids and recordings without codes match
-    nothing; repeated rows are one recording; an empty table gives no row.
+    classes = cut(own.where("class is not null").groupBy("class").agg(F.first("codes").alias("codes"), F.max(F.expr(query)).alias("asked")))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each position under four keys: its code and the next one, without one byte each."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                codes = batch.column(2)
+                flat = codes.flatten().to_numpy().astype(np.uint64)
+                many = np.diff(codes.offsets.to_numpy())
+                row = np.repeat(np.arange(len(many)), many)
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+                i = np.flatnonzero((at + 1 < many[row]) & (flat != SILENCE))
+                i = i[~((flat[i] == flat[i - 1]) & (at[i] > 0) & (flat[i] == flat[np.minimum(i + 1, len(flat) - 1)]))]  # of a held code only its ends vote
+                for m in range(4):
+                    mask = np.uint64(0xFFFFFFFF & ~(0xFF << 8 * m))
+                    key = ((flat[i] & mask) << np.uint64(32) | (flat[i + 1] & mask)) ^ np.uint64(m << 8 * m)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(i), m, np.int8)), batch.column(0).take(pa.array(row[i])), batch.column(1).take(pa.array(row[i])), pa.array(at[i].astype(np.int32))], names=["key", "m", "class", "asked", "at"])
+
+    posts = cut(classes.select("class", "asked", "codes").mapInArrow(keys, "key long, m byte, class long, asked boolean, at int"))
+    a = posts.where("asked").select("m", "key", F.col("class").alias("qc"), F.col("at").alias("qa"))
+    votes = a.join(posts.drop("asked"), ["m", "key"]).where("qc != class").groupBy("qc", "class", (F.col("qa") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least_votes)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([c.values.to_numpy().astype(np.uint32) if len(c) else np.empty(0, np.uint32) for c in batch.column(k)] for k in ("q", "c"))
+            got = [least_error(p, q, o) for p, q, o in zip(x, y, batch.column("offset").to_pylist(), strict=True)]
+            error = np.array([e for _, e in got])
+            made = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("qc", "class", "offset", "votes")), pa.array([n for n, _ in got], pa.int64()), pa.array(error, pa.float64())], names=["qc", "class", "offset", "votes", "overlap", "bit_error"])
+            yield made.filter(pa.array(error <= most_error, pa.bool_()))
+
+    both = votes.join(classes.select(F.col("class").alias("qc"), F.col("codes").alias("q")), "qc").join(classes.select("class", F.col("codes").alias("c")), "class")
+    found = both.select("qc", "class", "offset", "votes", "q", "c").mapInArrow(scored, "qc long, class long, offset int, votes long, overlap long, bit_error double")
+    best = F.min_by(F.struct("offset", "votes", "overlap", "bit_error"), F.struct("bit_error", -F.col("votes"), "offset")).alias("best")
+    return found.groupBy("qc", "class").agg(best).select("qc", "class", "best.*")
+
+
+def align(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = VOTES, most_error: float = MOST_ERROR) -> DataFrame:
+    """(query_id, id, offset, votes, overlap, bit_error): each query with every other recording that, at some offset with
+    at least least_votes votes, differs from it in at most most_error of the bits over OVERLAP codes in a row (a shorter
+    recording: over the whole of it); the closest such offset (ties: most votes, then the smallest offset).
+
+    Recordings of equal codes are one class, all silent ones too: votes and errors are found once for each class and then
+    joined to its members. A position votes if its code and the next one agree but for one byte each, the same
+    in both; silence doesn't vote, of a held code its two ends do. Null ids and recordings without codes match nothing;
+    equal rows are one recording, rows of one id with different codes are recordings of their own; a recording of any
+    length is used whole; an empty table gives no row.
     """
-    own = _classes_of(prints)
-    best = _class_pairs(own, query, least_votes, most_error)
+    own = cut(_with_class(prints).where("class is not null").dropDuplicates(["id", "class"]))
+    pairs = _class_pairs(own, query, least_votes, most_error)
     asked = own.where(query).select(F.col("id").alias("query_id"), F.col("class").alias("qc"))
-    return best.join(asked, "qc").join(own.select("id", "class"), "class").where("query_id != id").select("query_id", "id", "offset", "votes", "overlap", "bit_error")
+    members = own.select("id", "class", F.size("codes").cast("long").alias("n"))
+    equal = asked.join(members.withColumnRenamed("class", "qc"), "qc").where("query_id != id").select("query_id", "id", F.lit(0).alias("offset"), F.lit(None).cast("long").alias("votes"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error"))
+    return pairs.join(asked, "qc").join(members, "class").where("query_id != id").select("query_id", "id", "offset", "votes", "overlap", "bit_error").union(equal)
 
 
-def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = 3, most_error: float = 0.2) -> DataFrame:
+def matches(prints: DataFrame, query: str = "id % 20 = 0", least_votes: int = VOTES, most_error: float = MOST_ERROR) -> DataFrame:
     """(class, id, n_codes, other_class, offset, votes, overlap, bit_error): all that `align` finds, not multiplied out.
 
     A membership row for each row of prints names its class and no other_class; a row without an id names each pair of
     different classes, class holding a query. Partners of a query are the other members of its class (offset 0, no bit
-    error) and all members of the classes paired with it. The class is null where there are too few codes to match.
+    error) and all members of the classes paired with it. The class is null where there is no id or no code.
     """
-    kept = cut(prints)
-    pairs = _class_pairs(_classes_of(kept), query, least_votes, most_error).where("qc != class")
-    members = kept.select(F.when(F.col("id").isNotNull() & (F.size("codes") > 2), F.xxhash64("codes")).alias("class"), "id", F.size("codes").alias("n_codes"))
+    kept = cut(_with_class(prints))
+    pairs = _class_pairs(kept, query, least_votes, most_error)
+    members = kept.select("class", "id", F.size("codes").alias("n_codes"))
     return members.unionByName(pairs.select(F.col("qc").alias("class"), F.col("class").alias("other_class"), "offset", "votes", "overlap", "bit_error"), allowMissingColumns=True)
 
 
@@ -164,12 +204,3 @@ def rendered(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(v.as_py()) for v in part.column(1)], pa.binary())], names=["id", "pcm"])
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, pcm binary")
-
-
-def aligned(prints: DataFrame) -> DataFrame:
-    """(id, n_codes, codes_hash, best_id, offset, votes, bit_error): a row for each row of prints; what follows best_id
-    is of the closest recording where the id is a query and one was found, else null."""
-    kept = cut(prints)
-    found = align(kept)
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("bit_error", F.desc("votes"), "id"))).where("r = 1").select(F.col("query_id").alias("q"), F.col("id").alias("best_id"), "offset", "votes", "bit_error")
-    return kept.join(best, F.col("id") == F.col("q"), "left").select("id", F.size("codes").alias("n_codes"), F.xxhash64("codes").alias("codes_hash"), "best_id", "offset", "votes", "bit_error")
