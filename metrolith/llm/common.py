@@ -142,10 +142,10 @@ class Encoder:
     merge model encodes each distinct word; a bounded table answers for repeated ones. A text with characters outside
     a plain Latin range, or of an unknown vocabulary, goes to the library as a whole; so does one with a string of an
     added token, in whatever case where the vocabulary has no cases. The tables hold `keep` words twice and an eighth of
-    that of pieces, each of less than 40 characters: about 170 MB at most.
+    that of pieces, each of less than 40 characters: about 220 MB at most.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
