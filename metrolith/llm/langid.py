@@ -14,13 +14,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import small_batches
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -302,13 +301,13 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     """
     model = fit(docs.where(remainder(id_col, 4) != 2), text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    mark = fresh("_sure", docs.columns)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def sure(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        if not own.langs:
-            return texts.map(lambda t: bool(words_of(t)))
-        return pd.Series([max(x.values(), default=0.0) >= least for x in own.mixtures(texts.tolist())])
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            sure = [max(x.values(), default=0.0) >= least for x in own.mixtures(texts)] if own.langs else [bool(words_of(t)) for t in texts]
+            yield batch.filter(pa.array(sure, pa.bool_()))
 
-    return docs.withColumn(mark, sure(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).where(mark).drop(mark)
+    return docs.mapInArrow(run, docs.schema)

@@ -148,8 +148,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
-def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """Of (d, t), d not null: (d, class, group) for each row. Rows of equal sets are one class; group is the least class
+def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tuple[DataFrame, str]:
+    """Of (d, t), d not null: (d, class, group) for each row, and the folder that it is read from. Rows of equal sets are one class; group is the least class
     that links of similarity `least` or more reach. Rows without words are one class of their own."""
     spark = given.sparkSession
     small_batches(spark)
@@ -178,7 +178,7 @@ def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> Data
     release(spark)
 
     asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(hot.select("class")).distinct()
-    sets = cut(own.select("class", "d", "set").join(prints.select("class", "d").join(asked, "class", "left_semi"), ["class", "d"]).select("class", "set").dropDuplicates(["class"]))
+    sets = cut(own.select("class", "d", "set").join(prints.select("class", "d").join(asked, "class", "left_semi"), ["class", "d"]).dropDuplicates(["class", "d"]).select("class", "set"))  # repeated rows once, in the partitions of the join
     del own, asked
     remove(spark, folder)
     release(spark)
@@ -205,8 +205,8 @@ def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> Data
     if not more.isEmpty():
         group = components(edges.union(more)).withColumnRenamed("id", "class")
     if group is None:
-        return member.withColumn("group", F.col("class"))
-    return member.join(group, "class", "left").select("d", "class", F.coalesce("component", "class").alias("group"))
+        return member.withColumn("group", F.col("class")), kept
+    return member.join(group, "class", "left").select("d", "class", F.coalesce("component", "class").alias("group")), kept
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
@@ -217,8 +217,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole. An empty table stays empty; other columns are kept as they are, whatever their names.
     """
     given = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null")
-    own = cut(similar_groups(given, least, words))
+    own, folder = similar_groups(given, least, words)
+    own = cut(own)
+    remove(docs.sparkSession, folder)
     twin = fresh("_twin", docs.columns)
     firsts = own.groupBy("group").agg(F.min("d").alias("first"))
     later = cut(own.join(firsts, "group").where("d != first").select(F.col("d").alias(twin)).distinct())
+    release(docs.sparkSession)
     return docs.join(later, docs[id_col].cast("long") == later[twin], "left_anti")
