@@ -196,10 +196,17 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One per Python worker and vocabulary."""
+    """One per Python worker, of the last vocabulary asked for."""
     return Encoder(path)
 
 
+def forget_words() -> None:
+    """Drops the encoder's tables in this Python worker, which Spark uses again for whatever comes next."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import forget_words, small_batches
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BEYOND = re.compile("[̀-\U0010ffff]")  # from here on there are marks that belong to a word
 UNKNOWN = "und"
-HELD_BYTES = 16 << 20  # of words' likelihoods that a Python worker holds
+HELD_WORDS, HELD_BYTES = 100_000, 16 << 20  # words, and bytes of their likelihoods, that a Python worker holds at most
 TOGETHER = 50_000  # distinct words of documents that are solved together
 TRI, PAIR, ONE = 18, 16, 14  # bits of the places of trigrams, of pairs and of single letters
 SIZES = (1 << TRI, 1 << PAIR, 1 << PAIR, 1 << ONE)  # trigrams, first two, last two, middle letters
@@ -71,6 +71,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """(lang, place, n): how often the trigrams and contexts of each place occur in the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         held: dict[str, np.ndarray] = {}
         waiting: dict[str, list[str]] = {}
 
@@ -135,7 +136,7 @@ class Model:
 
     @property
     def room(self) -> int:
-        return max(4096, HELD_BYTES // (4 * len(self.langs)))
+        return max(4096, min(HELD_WORDS, HELD_BYTES // (4 * len(self.langs))))
 
     def _likelihoods(self, words: list[str]) -> np.ndarray:
         known = self.words
@@ -269,6 +270,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         own = shared.value
         for batch in batches:
             found = own.mixtures(batch.column(1).to_pylist())
@@ -304,6 +306,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         own = shared.value
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()
