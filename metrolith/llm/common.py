@@ -195,9 +195,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = 500_000) -> Encoder:
     """One per Python worker, of the last vocabulary asked for."""
-    return Encoder(path)
+    return Encoder(path, keep)
 
 
 def forget_words() -> None:

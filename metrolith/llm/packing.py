@@ -55,12 +55,12 @@ class Bins:
         return bin_, self.capacity - free
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep: int = 500_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document of up to `capacity` ids whole; of a longer one the first
     piece takes the rest of the division, so all others fill a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, keep), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -91,11 +91,11 @@ def pack(rows: DataFrame, capacity: int, open_bins: int = 32_768, rows_a_task: i
     return rows.repartition(tasks, "doc_id", "piece", "start", "ids_crc32").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, OUT)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 32_768, id_col: str = "doc_id", text_col: str = "text", keep: int = 500_000) -> DataFrame:
     """Every row of docs in sequences of at most `capacity` ids, its own end id included.
 
     A null or empty text is the end id alone; null ids and repeated rows are packed like any other; other columns are
     ignored; an empty table gives no row. The pieces, without their ids, are cut into the shared folder, so texts are
     encoded once.
     """
-    return pack(cut(pieces(docs, tokenizer, end_id, capacity, id_col, text_col)), capacity, open_bins)
+    return pack(cut(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, keep)), capacity, open_bins)
