@@ -32,7 +32,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids; a null text is its end id alone."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, TOKENIZER, keep=100_000)
 
 
 STAGES = [
