@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -14,6 +15,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -207,6 +209,15 @@ def forget_words() -> None:
         gc.collect()
 
 
+def trim() -> None:
+    """Gives back to the system what this Python worker, which Spark keeps for later tasks, holds but doesn't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give:
+        give(0)
+
+
 # ---------------------------------------------------------------- connected components
 
 

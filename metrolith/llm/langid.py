@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_words, small_batches
+from .common import forget_words, small_batches, trim
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -312,5 +312,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
             texts = batch.column(at).cast(pa.string()).to_pylist()
             sure = [max(x.values(), default=0.0) >= least for x in own.mixtures(texts)] if own.langs else [bool(words_of(t)) for t in texts]
             yield batch.filter(pa.array(sure, pa.bool_()))
+        batch = texts = None
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,11 +6,13 @@ many for any fuzzy key to find all pairs, so shared prefixes find the rest: each
 frequent shingles last. Of two sets similar by t, the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller and the
 first n - ceil(t n) + 1 of the larger always have one in common.
 
-A group of many near copies would give pairs in the square of its size. So, first, each set is compared only with the
-least one in each of its buckets, and the links found are joined to components; then only pairs of sets that are still in
-different components are compared: in a bucket, those outside its largest component with all others. Pairs inside a
-component can't change the result. Before whole sets are moved, pairs go whose fingerprints differ in more bits than
-six standard deviations over what the threshold makes likely (26 of 64 at 0.8: about one pair in a million is lost).
+A group of many near copies would give pairs in the square of its size. So, first, each set is compared only with one
+of each of its buckets, another one in each, and the links found are joined to components; then only pairs of sets that
+are still in different components are compared: in a bucket, those outside its largest component with all others. Pairs
+inside a component can't change the result. What is left may still grow with the square of a group, so it has to be
+cheap: a pair is named where a run of shared shingles begins, not in every bucket, and sets are moved once to a bucket
+that has pairs, not once a pair. Before whole sets are moved, pairs go whose fingerprints differ in more bits than six
+standard deviations over what the threshold makes likely (26 of 64 at 0.8: about one pair in a million is lost).
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, release, remove, small_batches, work_folder
+from .common import components, cut, fresh, release, remove, small_batches, trim, work_folder
 from .simhash import links, majority
 
 MIX = 0x9E3779B97F4A7C15
-SAMPLE, HOT = 4_000, 50_000  # documents that frequencies are taken from, and shingles that count as frequent, at most
+SAMPLE, SHARE = 4_000, 16  # documents that frequencies are taken from: so many, and one in so many, at least
+HOT = 250_000  # shingles that count as frequent, at most
+CELL = 2_048  # sets that are compared in one place, about
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -76,8 +80,10 @@ def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
 
 
 def _frequent(given: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents of a sample, rarest first. They only order the sets: no result depends on them."""
-    share = max(1, given.count() // SAMPLE)
+    """Shingles of many documents of a sample, rarest first. They only order the sets: no result depends on them. The
+    sample grows with the table: else a shingle of a fixed share of all documents, and so more and more of them, would
+    pass for rare."""
+    share = max(1, min(SHARE, given.count() // SAMPLE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,17 +92,18 @@ def _frequent(given: DataFrame, words: int) -> np.ndarray:
 
     sample = given.where(F.pmod(F.xxhash64("d"), F.lit(share)) == 0).mapInArrow(run, "s long")
     top = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").orderBy(F.desc("n"), "s").limit(HOT)
-    return np.array([r["s"] for r in top.collect()][::-1], np.int64).view(np.uint64)
+    return top.select("s").toArrow()["s"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _prepared(given: DataFrame, least: float, words: int) -> DataFrame:
     """(d, class, n, fp, first, set): rows of equal sets have the same class; first: the longest prefix that is due."""
-    frequent = given.sparkSession.sparkContext.broadcast(_frequent(given, words))
+    hot = _frequent(given, words)
+    by = np.argsort(hot)
+    frequent = given.sparkSession.sparkContext.broadcast((hot[by], by.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = frequent.value
-        order = np.argsort(hot)
-        known = hot[order]
+        trim()
+        known, order = frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -112,6 +119,8 @@ def _prepared(given: DataFrame, least: float, words: int) -> DataFrame:
                         column.append(x)
                 fp = np.array(rows[2], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(fp), pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.binary())], names=["d", "class", "n", "fp", "first", "set"])
+        whole = batch = rows = own = first = column = x = fp = None
+        trim()
 
     return given.mapInArrow(run, "d long, class long, n int, fp long, first array<long>, set binary")
 
@@ -131,21 +140,44 @@ def most_bits(least: float) -> int:
 
 
 def _likely(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of classes that their fingerprints don't rule out. prints: (class, fp)."""
+    """The pairs (a, b, cell) of classes that their fingerprints don't rule out. prints: (class, fp)."""
     both = pairs.join(prints.select(F.col("class").alias("a"), F.col("fp").alias("x")), "a").join(prints.select(F.col("class").alias("b"), F.col("fp").alias("y")), "b")
-    return both.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits(least)).select("a", "b")
+    return both.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits(least)).select("a", "b", "cell")
+
+
+def _cell(*parted: str) -> Column:
+    """Where pairs of the bucket s of k sets are compared: one place, or several by hashes of the columns `parted`."""
+    parts = F.ceil(F.col("k") / CELL)
+    return F.when(F.col("k") <= CELL, F.col("s")).otherwise(F.xxhash64("s", *(F.pmod(F.xxhash64(c), parts) for c in parted)))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) once, in the least of its cells."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cell").groupBy("a", "b").agg(F.min("cell").alias("cell"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar by `least`."""
+    """Those of the pairs (a, b, cell) of classes that are similar by `least`. A set is moved once to each cell that
+    names it, whatever the number of its pairs there."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for batch in batches:
-            ok = [similarity(unpacked(x.as_buffer()), unpacked(y.as_buffer())) >= least - 1e-9 for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+            found: list[list] = [[], []]
+            for c, a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if c != cell:
+                    cell, held = c, {}
+                if b is None:
+                    held[a] = unpacked(x.as_py())
+                elif similarity(held[a], held[b]) >= least - 1e-9:
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    named = pairs.select("cell", F.col("a").alias("class")).union(pairs.select("cell", "b")).distinct()
+    moved = named.join(sets, "class").select("cell", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = moved.union(pairs.select("cell", "a", "b", F.lit(None).cast("binary")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.asc_nulls_first("b")).mapInArrow(compared, "a long, b long")
 
 
 def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tuple[DataFrame, str]:
@@ -167,13 +199,13 @@ def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tupl
     del posts, shared
     release(spark)
 
-    # each set with the least one of its buckets, and fingerprints that share a Golay key
-    reps = hot.groupBy("s").agg(F.min(F.struct("class", "n", "i")).alias("r")).select("s", F.col("r.class").alias("a"), F.col("r.n").alias("na"), F.col("r.i").alias("ia"))
-    stars = hot.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(reps, "s").where("a != b").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # each set with one of each of its buckets, and fingerprints that share a Golay key
+    reps = hot.groupBy("s").agg(F.min(F.struct(F.xxhash64("s", "class"), "class", "n", "i")).alias("r"), F.count(F.lit(1)).alias("k")).select("s", F.col("r.class").alias("a"), F.col("r.n").alias("na"), F.col("r.i").alias("ia"), "k")
+    stars = _once(hot.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib")).join(reps, "s").where("a != b").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}").select("a", "b", _cell("b").alias("cell")))
     same = cut(prints.groupBy("fp").agg(F.min("class").alias("class"), F.max("class").alias("last")))
-    near = links(same).join(same.select(F.col("fp").alias("a"), F.col("class").alias("ca")), "a").join(same.select(F.col("fp").alias("b"), F.col("class").alias("cb")), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    twins = same.where("class != last").select(F.col("class").alias("a"), F.col("last").alias("b"))  # unequal sets of one fingerprint
-    pairs = cut(_likely(stars, prints, least).union(near).union(twins).distinct())
+    near = links(same).join(same.select(F.col("fp").alias("a"), F.col("class").alias("ca")), "a").join(same.select(F.col("fp").alias("b"), F.col("class").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("ca").alias("cell"))
+    twins = same.where("class != last").select(F.col("class").alias("a"), F.col("last").alias("b"), F.col("class").alias("cell"))  # unequal sets of one fingerprint
+    pairs = cut(_once(_likely(stars, prints, least).union(near).union(twins)))
     del reps, stars, same, near, twins
     release(spark)
 
@@ -190,12 +222,13 @@ def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tupl
     placed = hot.join(group, "class", "left") if group is not None else hot.withColumn("component", F.lit(None).cast("long"))
     placed = cut(placed.withColumn("component", F.coalesce("component", "class")))
     counted = placed.groupBy("s", "component").agg(F.count(F.lit(1)).alias("k"))
-    major = counted.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("s", "major")
-    apart = placed.join(major, "s")
-    x = apart.where("component != major").select("s", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("pa"))
-    y = apart.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("pb"), "major")
-    rest = x.join(y, "s").where("pa != pb and (pb = major or a < b)").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    major = counted.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k")).where("parts > 1").select("s", "major", "k")
+    # where both of a pair have the same bucket before this one, it has been named there or earlier
+    apart = cut(placed.join(major, "s").withColumn("before", F.lag("s").over(Window.partitionBy("class").orderBy("i"))))
+    x = apart.where("component != major").select("s", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("pa"), F.col("before").alias("ea"))
+    y = apart.select("s", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("pb"), F.col("before").alias("eb"), "major", "k")
+    rest = x.join(y, "s").where("pa != pb and (pb = major or a < b) and coalesce(ea != eb, true)").where(f"{_fits('a', 'b', least)} or {_fits('b', 'a', least)}")
+    rest = _once(rest.select("a", "b", _cell("a", "b").alias("cell")))
     rest = cut(_likely(rest, prints, least).join(pairs, ["a", "b"], "left_anti"))
     del hot, placed, counted, major, apart, x, y
     release(spark)

@@ -152,6 +152,44 @@ def test_near_copies_against_brute_force(spark):
     assert near.keep_first(d.limit(0)).count() == 0
 
 
+def test_group_about_the_threshold(spark, monkeypatch):
+    """Copies of which some link and others don't: the groups are right, compared in one place or in several, and a
+    set isn't moved for each of its pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(320):
+        own = list(base)
+        for j in rng.choice(120, int(rng.integers(2, 6)), replace=False):
+            own[j] = f"x{i}-{j}"
+        texts.append(" ".join(own))
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    seen, real = [], near._verified
+
+    def watched(pairs, *rest):
+        moved = pairs.select("cell", "a").union(pairs.select("cell", "b")).distinct()
+        seen.append((pairs.count(), moved.count()))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(near, "_verified", watched)
+    for cell in (16, 2_048):
+        monkeypatch.setattr(near, "CELL", cell, raising=False)
+        seen.clear()
+        assert {r.doc_id for r in near.keep_first(docs(spark, texts)).collect()} == set(group)
+    assert seen[-1][1] < seen[-1][0] / 2 and len(seen) == 2
+
+
+def test_frequent_shingles_are_found_in_a_large_table(spark, monkeypatch):
+    """A phrase of a sixteenth of all documents, over a table of 32 times the sample."""
+    monkeypatch.setattr(near, "SAMPLE", 50)
+    given = spark.createDataFrame([(i, "a phrase of many documents" if i % 16 == 0 else f"a b c d {i}") for i in range(1600)], "d long, t string")
+    assert near._frequent(given, 5).tolist() == near.shingles("a phrase of many documents").tolist()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.component for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
