@@ -214,24 +214,31 @@ def _stored(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """The spans, with h, and the folders that they are read from."""
-    folders = [work_folder(docs.sparkSession, x) for x in ("chunks", "runs")]
-    small_batches(docs.sparkSession)
+def _spans(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The spans, with h, and the folder that they are read from. Shuffles and chunks go as soon as what they gave is cut."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folders = [work_folder(spark, x) for x in ("chunks", "runs")]
     made = _stored(chunked(docs, least_words, id_col, text_col), folders[0])
     variable, fixed = made.where("stop is not null"), made.where("stop is null").select("doc_id", "h", "digest", "word")
     settled = cut(variable.join(_first_holders(variable, "digest", "check"), ["digest", "check"]).where("doc_id > first").select("doc_id", "h", "first", "word", "stop", "start", "end"))
+    release(spark)
     again = fixed.join(_first_holders(fixed, "digest").select("digest"), "digest")
-    places = again.groupBy("doc_id", "h").agg(F.collect_set("word").alias("words"))
+    places = cut(again.groupBy("doc_id", "h").agg(F.collect_set("word").alias("words")))
+    remove(spark, folders[0])
+    del made, variable, fixed, again
+    release(spark)
     lists = settled.groupBy("doc_id", "h").agg(F.collect_set(F.struct("word", "stop")).alias("settled"))
     runs = _stored(_runs(docs, places.join(lists, ["doc_id", "h"], "left"), least_words, id_col, text_col), folders[1])
+    del places, lists
+    release(spark)
     found = runs.join(_first_holders(runs, "digest", "check"), ["digest", "check"]).where("doc_id > first").select(*settled.columns)
     before = Window.partitionBy("doc_id", "h").orderBy("word", "stop", "first")
     reach = F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1))
     parts = found.union(settled).withColumn("reach", reach)
     parts = parts.withColumn("new", F.coalesce((F.col("word") - F.col("reach") + 1 >= least_words).cast("int"), F.lit(0))).withColumn("runs", F.expr("greatest(0, stop - greatest(word, coalesce(reach, 0)))"))
     spans = parts.withColumn("part", F.sum("new").over(before)).groupBy("doc_id", "h", "part")
-    return spans.agg(F.min("first").alias("first_doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.sum("runs").alias("n_chunks")).drop("part"), folders
+    return spans.agg(F.min("first").alias("first_doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.sum("runs").alias("n_chunks")).drop("part"), folders[1]
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +252,11 @@ def repeated_spans(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id
     texts are read whole. An empty table gives no row. A digest that many documents share is counted within partitions
     first, and the join back streams over its rows, which Spark splits where they are skewed.
     """
-    return _spans(docs, least_words, id_col, text_col)[0].drop("h")
+    spans, folder = _spans(docs, least_words, id_col, text_col)
+    spans = cut(spans.drop("h"))
+    remove(docs.sparkSession, folder)
+    release(docs.sparkSession)
+    return spans
 
 
 def without_repeats(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -256,10 +267,9 @@ def without_repeats(docs: DataFrame, least_words: int = 51, id_col: str = "doc_i
     stay as they are; an empty table stays empty.
     """
     own, hashed, holes = (fresh(x, docs.columns) for x in ("_doc", "_hash", "_holes"))
-    spans, folders = _spans(docs, least_words, id_col, text_col)
+    spans, folder = _spans(docs, least_words, id_col, text_col)
     lists = cut(spans.groupBy(F.col("doc_id").alias(own), F.col("h").alias(hashed)).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(holes)))
-    for folder in folders:
-        remove(docs.sparkSession, folder)
+    remove(docs.sparkSession, folder)
     release(docs.sparkSession)
 
     @F.pandas_udf("string")

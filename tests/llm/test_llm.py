@@ -1,4 +1,5 @@
 import itertools
+import os
 import re
 import time
 import zlib
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from metrolith.llm import chroma, chunks, decontam, langid, near, packing, quality, rans, sharding, simhash, wrappers
-from metrolith.llm.common import Encoder, components
+from metrolith.llm.common import Encoder, components, release, shared_folder
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
@@ -746,3 +747,20 @@ def test_passages_of_repeated_ids(spark):
     left = [(r.doc_id, r.text, r.n_chars) for r in chunks.without_repeats(d).collect()]
     assert sorted(left, key=str) == sorted([(1, rows[0][1], 0), (5, rows[1][1][: -len(one)], len(rows[1][1]) - len(one)), (5, " end", 4), (5, " end", 4), (7, rows[4][1], 0), (7, None, 0), (None, one, 0)], key=str)
     assert chunks.repeated_spans(d).count() == 2
+
+
+def test_passages_leave_nothing_on_disk(spark, monkeypatch):
+    """Folders go once what they gave is cut, and shuffles are let go after each step: else a run's disk is left to when
+    the driver happens to collect its garbage."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], 300)) for _ in range(4)]
+    d = docs(spark, [*texts, texts[0], texts[1] + " and more", "before " + texts[2]])
+    folder, done = shared_folder(spark).removeprefix("file://").removeprefix("file:"), []
+    kept = lambda: {x for x in os.listdir(folder) if x.startswith(("metrolith-chunks", "metrolith-runs"))} if os.path.isdir(folder) else set()
+    for name in ("cut", "_stored", "release"):
+        monkeypatch.setattr(chunks, name, lambda *x, f=getattr(chunks, name), name=name: (done.append(name), f(*x))[1])
+    before = kept()
+    got = chunks.repeated_spans(d)
+    assert kept() == before
+    assert all(b == "release" for a, b in itertools.pairwise(done[1:]) if a != "release") and done[-1] == "release"  # the first step shuffles nothing
+    assert sorted(r.doc_id for r in got.collect()) == [4, 5, 6]
