@@ -10,6 +10,7 @@ import re
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 from array import array
 from collections.abc import Callable
@@ -66,9 +67,12 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of tables that nothing refers to any more, once a step is cut: Spark removes them
-    when the driver collects its garbage, which may be long after a job has filled the executors' disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+    when the driver collects its garbage, which may be long after a job has filled the executors' disks. The tables of
+    the last query are only found in a second collection, once Spark has cleaned up after the first one."""
+    for pause in (0.5, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

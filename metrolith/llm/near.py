@@ -180,6 +180,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", F.asc_nulls_first("b")).mapInArrow(compared, "a long, b long")
 
 
+def _shared(own: DataFrame) -> DataFrame:
+    """(s, class, n, i): the shingles of prefixes that unequal sets share, copies once. Posts are moved once, and whether
+    a shingle is shared is seen where they meet."""
+    posts = own.where("n > 0").select("class", "n", F.posexplode("first").alias("i", "s"))
+    met = Window.partitionBy("s")
+    shared = posts.withColumn("least", F.min("class").over(met)).withColumn("most", F.max("class").over(met)).where("least < most")
+    return shared.groupBy("s", "class").agg(F.first("n").alias("n"), F.first("i").alias("i"))
+
+
 def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tuple[DataFrame, str]:
     """Of (d, t), d not null: (d, class, group) for each row, and the folder that it is read from. Rows of equal sets are one class; group is the least class
     that links of similarity `least` or more reach. Rows without words are one class of their own."""
@@ -192,11 +201,9 @@ def similar_groups(given: DataFrame, least: float = 0.8, words: int = 5) -> tupl
     own.select("d", "class").write.parquet(kept)
     member = spark.read.parquet(kept)
     prints = cut(own.where("n > 0").groupBy("class").agg(F.first("fp").alias("fp"), F.min("d").alias("d")))  # d: a row that stands for it
+    release(spark)
 
-    posts = own.where("n > 0").select("class", "n", F.posexplode("first").alias("i", "s"))
-    shared = posts.groupBy("s").agg(F.min("class").alias("rep"), F.max("class").alias("other")).where("rep < other").select("s")
-    hot = cut(posts.join(shared, "s").groupBy("s", "class").agg(F.first("n").alias("n"), F.first("i").alias("i")))  # copies count once
-    del posts, shared
+    hot = cut(_shared(own))
     release(spark)
 
     # each set with one of each of its buckets, and fingerprints that share a Golay key

@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from metrolith.llm import chroma, chunks, decontam, langid, near, packing, quality, rans, sharding, simhash, wrappers
-from metrolith.llm.common import Encoder, components, release, shared_folder
+from metrolith.llm.common import Encoder, components, cut, release, shared_folder
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.json"
@@ -764,3 +765,33 @@ def test_passages_leave_nothing_on_disk(spark, monkeypatch):
     assert kept() == before
     assert all(b == "release" for a, b in itertools.pairwise(done[1:]) if a != "release") and done[-1] == "release"  # the first step shuffles nothing
     assert sorted(r.doc_id for r in got.collect()) == [4, 5, 6]
+
+
+def test_released_shuffles_are_gone(spark):
+    """Those of the last query too, whose rows were cut, while these are still in use."""
+    alive = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+
+    def left(n):  # at last; the files go in the background
+        end = time.time() + 3
+        while alive.size() > n and time.time() < end:
+            time.sleep(0.1)
+        return alive.size()
+
+    release(spark)
+    release(spark)
+    before = left(0)
+    kept = cut(spark.range(1000).groupBy((F.col("id") * 7 % 1000).alias("k")).count())
+    assert alive.size() > before
+    release(spark)
+    assert left(before) <= before
+    assert kept.count() == 1000
+
+
+def test_posts_of_prefixes_are_moved_once(spark):
+    rng = np.random.default_rng(4)
+    sets = [(c, rng.choice(60, 5, replace=False).tolist()) for c in range(12)]
+    own = spark.createDataFrame([(c, len(x), x) for c, x in [*sets, sets[0], sets[3], (99, [1000, 1001]), (99, [1000, 1001])]], "class long, n int, first array<long>")
+    shared = near._shared(own)
+    assert shared._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    held = {s: {c for c, x in sets if s in x} for s in range(60)}
+    assert sorted(map(tuple, shared.collect())) == sorted((s, c, 5, x.index(s)) for c, x in sets for s in x if len(held[s]) > 1)
