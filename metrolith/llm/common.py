@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import shutil
+import string
 import tempfile
 import threading
 import time
@@ -99,8 +100,8 @@ def fresh(wanted: str, taken: list[str]) -> str:
 
 #: A text with any of these leaves the fast road: combining marks, control characters, exotic white space.
 _UNUSUAL = re.compile("[^\t\n\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
-#: White space other than single spaces and single line ends between other characters.
-_RAGGED = re.compile(r"\s\s|^\s|\s$|\t")
+#: White space other than single spaces and single line ends between other characters; `_UNUSUAL` has met all other kinds.
+_RAGGED = ("\t", "  ", "\n\n", " \n", "\n ")
 _ROADS = {
     "word_bpe_49k.json": (regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), True),
     "byte_bpe_50k.json": (regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), False),
@@ -118,9 +119,6 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-_ENDS = frozenset(".,;:!?")
-
-
 class _Words(dict):
     """Ids of words as bytes; two generations of bounded size, so that frequent words outlive rare ones."""
 
@@ -168,8 +166,11 @@ class Encoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return array("I", [t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes()
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.letters[32])
+        else:
+            shown = "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A word that a space precedes; with a leading line end, one that follows that."""
@@ -178,8 +179,9 @@ class Encoder:
             lead, mark, word = self.marks["\n"], "", word[1:]
         if word.isalpha():
             return lead + self._piece(mark + word)
-        if word[-1:] in _ENDS and word[:-1].isalpha():
-            return lead + (self.words[word[:-1]] if mark or self.lower else self._piece(word[:-1])) + self.marks[word[-1]]
+        stem = word.rstrip(string.punctuation)
+        if stem.isalpha():  # all marks that follow it are one piece, in both vocabularies
+            return lead + (self.words[stem] if mark or self.lower else self._piece(stem)) + self.marks[word[len(stem) :]]
         return lead + b"".join(map(self.marks.__getitem__, self.split.findall(mark + word)))
 
     def __call__(self, text: str | None) -> bytes:
@@ -194,7 +196,7 @@ class Encoder:
                 return self.whole(text)
         if self.lower:
             return b"".join(map(self.words.__getitem__, given.split()))
-        if _RAGGED.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RAGGED):
             return b"".join(map(self.marks.__getitem__, self.split.findall(text)))
         head, *rest = text.replace("\n", " \n").split(" ")
         return b"".join(map(self.marks.__getitem__, self.split.findall(head))) + b"".join(map(self.words.__getitem__, rest))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, encoder, small_batches
+from .common import cut, encoder, small_batches, trim
 
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -60,6 +60,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     piece takes the rest of the division, so all others fill a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encoder.cache_info().currsize:
+            trim()
         encode, end = encoder(tokenizer, keep), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
