@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, release, remove, small_batches, work_folder
+from .common import cut, fresh, release, remove, small_batches, trim, work_folder
 
 WINDOW = 16
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest()[:2] for i in range(256)), "<u2").astype(np.uint16)
@@ -163,6 +163,8 @@ def chunked(docs: DataFrame, least_words: int = 51, id_col: str = "doc_id", text
                     yield from _batches(rows)
                     rows, held = [], 0
             yield from _batches(rows)
+        batch = rows = None
+        trim()
 
     return _given(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
 
@@ -199,6 +201,8 @@ def _runs(docs: DataFrame, places: DataFrame, least_words: int, id_col: str, tex
                     yield from _batches(rows)
                     rows, held = [], 0
             yield from _batches(rows)
+        batch = rows = None
+        trim()
 
     key = ["doc_id", "h"]
     return _given(docs, id_col, text_col).join(places, key).select("doc_id", "t", "h", "words", "settled").mapInArrow(run, _SCHEMA)

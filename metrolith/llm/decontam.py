@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small_batches
+from .common import cut, fresh, small_batches, trim
 
 WORD = re.compile(r"\w+")
 MATCH, MISS, GAP = 2, -1, 1
@@ -141,6 +141,8 @@ def _hits(given: DataFrame, seeds: DataFrame) -> DataFrame:
                         rows[2] += own.view(np.int64).tolist()
                         rows[3] += np.split(at[order].astype(np.int32), starts[1:])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.list_(pa.int32()))], names=["d", "h", "seed", "at"])
+        batch = rows = None
+        trim()
 
     return given.mapInArrow(run, "d long, h long, seed long, at array<int>")
 
